@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Texts are worked on in slices of about this many bytes (a longer text makes a slice of its own).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _UPPER = {c: c + 32 for c in range(65, 91)}
 
@@ -86,6 +87,19 @@ def tokenize(texts: pa.Array, table: bytes) -> Tokens:
     return Tokens(words, np.searchsorted(starts, at))
 
 
+def word_sizes(texts: pa.Array, table: bytes = BLANKS) -> np.ndarray:
+    """The number of words of each text."""
+    data, at = raw_bytes(texts)
+    if not data:
+        return np.zeros(len(at) - 1, np.int64)
+    inside = np.frombuffer(data.translate(table), np.uint8) != 32
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edge = at[:-1][at[:-1] < len(data)]
+    first[edge] = inside[edge]
+    return np.diff(np.searchsorted(np.flatnonzero(first), at))
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces whose texts together hold about SLICE_BYTES, a longer text alone."""
     for batch in batches:
@@ -101,3 +115,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Record
 def crc_fold(key: str, folds: int) -> Column:
     """crc32 of a key as text, modulo folds; a null key counts as the empty text."""
     return (F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds).cast("int")
+
+
+def fields(ddl: str, **first: DataType) -> StructType:
+    """A schema of columns of given types, then those of ddl."""
+    return StructType([*(StructField(k, v) for k, v in first.items()), *StructType.fromDDL(ddl).fields])
