@@ -15,7 +15,7 @@ from semspark.llm.scratch import cut, share
 from semspark.llm.text import BLANKS_KEEP_CASE, fields, slices
 
 #: Share of the pooled diagonal in each class's covariance, and what is added to the variances of unit scale.
-SHRINKAGE, RIDGE = 0.1, 0.05
+SHRINKAGE, RIDGE = 0.1, 0.3
 #: Discriminants beyond this say no more.
 CLIP = 30.0
 
