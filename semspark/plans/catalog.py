@@ -164,7 +164,7 @@ def file_index_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeaverage.intervals(e, "time", ["user_id"], ["event_id"], 0.0).select("user_id", "event_id", "idx", F.round("time_interval", 3).alias("time_interval"))
 
 
-@query("""WITH o AS (SELECT o_orderkey AS fname, epoch_us(o_orderdate) / 1e6 AS time, CASE o_orderstatus WHEN 'O' THEN 5.0 WHEN 'F' THEN 3.0 END AS start_time FROM orders)
+@query("""WITH o AS (SELECT o_orderkey AS fname, epoch_us(o_orderdate) / 1e6 AS time, CASE o_orderstatus WHEN 'O' THEN CAST(5 AS DOUBLE) WHEN 'F' THEN CAST(3 AS DOUBLE) END AS start_time FROM orders)
 SELECT CAST(row_number() OVER (ORDER BY time, fname) - 1 AS INTEGER) AS idx, fname, time, (SELECT min(start_time) FROM o) AS start_time FROM o""")
 def merge_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
@@ -206,7 +206,7 @@ def time_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {NODES}, s AS (SELECT *, elem_id % 2 AS batch, 1.0 + label AS dt FROM nodes WHERE elem_id < 400)
-SELECT batch, elem_id // 40 AS elem_id, k * 16 + j * 4 + i AS node, round(sum(u * dt) / sum(dt), 7) + 0.0 AS u FROM s GROUP BY ALL""")
+SELECT batch, elem_id // 40 AS elem_id, CAST(k * 16 + j * 4 + i AS BIGINT) AS node, round(sum(u * dt) / sum(dt), 7) + 0.0 AS u FROM s GROUP BY ALL""")
 def average_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fields(spark, sf_dir).where("elem_id < 400").withColumns({"idx": F.col("elem_id"), "elem_id": F.floor(F.col("elem_id") / 40)})
     index = f.select("idx", (F.col("idx") % 2).alias("batch"), (F.col("label") + 1.0).alias("dt"))
@@ -399,19 +399,19 @@ def probe_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locate.interpolate_at(fields(spark, sf_dir), "u", _RST, "value", N).select("elem_id", near("value").alias("value"))
 
 
-@query("""SELECT p_partkey, CAST(least(9, greatest(0, floor((p_retailprice - 900) / 120))) + 10 * least(4, greatest(0, floor((p_size - 1) / 10.0))) AS BIGINT) AS bin FROM part""")
+@query("""SELECT p_partkey, CAST(least(9, greatest(0, floor((p_retailprice - 900) / 10))) + 10 * least(4, greatest(0, floor((p_size - 1) / 10.0))) AS BIGINT) AS bin FROM part""")
 def bin_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", locate.bins([F.col("p_retailprice"), F.col("p_size")], [900.0, 1.0], [120.0, 10.0], [10, 5]).alias("bin"))
+    return table(spark, sf_dir, "part").select("p_partkey", locate.bins([F.col("p_retailprice"), F.col("p_size")], [900.0, 1.0], [10.0, 10.0], [10, 5]).alias("bin"))
 
 
-@query("""WITH b AS (SELECT p_brand AS elem_id, min(p_retailprice) + 100 AS x_min, min(p_retailprice) + 180 AS x_max, 10.0 AS y_min, 22.0 AS y_max FROM part GROUP BY p_brand)
+@query("""WITH b AS (SELECT p_brand AS elem_id, min(p_retailprice) + 20 AS x_min, min(p_retailprice) + 35 AS x_max, 10.0 AS y_min, 22.0 AS y_max FROM part GROUP BY p_brand)
 SELECT p_partkey AS probe_id, elem_id FROM part, b WHERE p_retailprice BETWEEN x_min AND x_max AND p_size BETWEEN y_min AND y_max""")
 def range_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     low = F.min("p_retailprice")
-    b = part.groupBy(F.col("p_brand").alias("elem_id")).agg((low + 100).alias("x_min"), (low + 180).alias("x_max")).withColumns({"y_min": F.lit(10.0), "y_max": F.lit(22.0)})
+    b = part.groupBy(F.col("p_brand").alias("elem_id")).agg((low + 20).alias("x_min"), (low + 35).alias("x_max")).withColumns({"y_min": F.lit(10.0), "y_max": F.lit(22.0)})
     p = part.select(F.col("p_partkey").alias("probe_id"), F.col("p_retailprice").alias("x"), F.col("p_size").cast("double").alias("y"))
-    return locate.candidates(p, b, (80.0, 12.0), ("x", "y")).select("probe_id", "elem_id")
+    return locate.candidates(p, b, (15.0, 12.0), ("x", "y")).select("probe_id", "elem_id")
 
 
 @query("""SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY abs(o_totalprice - 1000), o_orderkey) = 1""")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 HEADER, MARK, SUFFIX = 132, 6.54321, ".f"
 ELEMENTS = 4096
@@ -140,7 +140,8 @@ class FieldSource(DataSource):
             if missing := [c for c in wanted if c not in names]:
                 raise ValueError(f"no fields {missing}")
             names = [c for c in names if c in wanted]
-        return StructType.fromDDL("path string, time double, step long, elem_id long" + "".join(f", {c} array<double>" for c in names))
+        first = [StructField("path", StringType()), StructField("time", DoubleType()), StructField("step", LongType()), StructField("elem_id", LongType())]
+        return StructType(first + [StructField(c, ArrayType(DoubleType())) for c in names])
 
     def reader(self, schema: StructType) -> FieldReader:
         return FieldReader(self.options, schema)

@@ -45,15 +45,20 @@ def from_log(spark: SparkSession, path: str) -> DataFrame:
     is the start. Each "Writer output" line opens a block, up to the next one and 2 * files + 2 lines at most, whose
     lines may name a file (with the output's number on the next line) and a writing time.
     """
-    keep = F.col("value").rlike(r"File name\s*:|Time-step|Writer output|Output number\s*:|Writing at time:|t =\s*[+-]?\d")
-    lines = numbered(spark, path).where(keep)  # few lines of a log
+    told = F.col("value").rlike(r"File name\s*:|Time-step|Writer output|Output number\s*:|Writing at time:|t =\s*[+-]?\d")
     number = r"([+-]?\d*\.\d+E[+-]?\d+)"
+    every = numbered(spark, path)
+    lines = every.where(told)
     steps = lines.where(F.col("value").contains("Time-step")).groupBy("path").agg(F.min("line").alias("step"))
     starts = lines.join(F.broadcast(steps), "path").where("line = step - 2").select("path", F.regexp_extract("value", rf"t =\s*{number}", 1).cast("double").alias("start_time"))
     head = steps.join(starts, "path", "left")
-    lines = lines.join(F.broadcast(head), "path")
     name = F.trim(F.regexp_extract("value", r"File name\s*:\s*(.+)", 1))
-    files = lines.where(F.col("line") < F.col("step")).where(F.col("value").rlike(r"File name\s*:")).select("path", name.alias("file")).distinct()
+    early = lines.join(F.broadcast(head), "path").where(F.col("line") < F.col("step")).where(F.col("value").rlike(r"File name\s*:"))
+    files = early.select("path", name.alias("file")).distinct()
+    names = sorted({r["file"] for r in files.collect()})  # the outputs that a run announces
+    for x in names:
+        told = told | F.col("value").contains(f" {x}")
+    lines = every.where(told).join(F.broadcast(head), "path")
     counted = files.groupBy("path").agg(F.count("*").alias("files"))
     w = Window.partitionBy("path").orderBy("line")
     later = lines.where(F.col("line") > F.col("step"))
@@ -61,9 +66,9 @@ def from_log(spark: SparkSession, path: str) -> DataFrame:
     later = later.withColumns({"next": F.lead("value").over(w), "next_line": F.lead("line").over(w)}).where("block IS NOT NULL")
     later = later.join(F.broadcast(counted), "path").where(F.col("line") < F.col("block") + 2 * F.col("files") + 2)
     times = later.where(F.col("value").contains("Writing at time:")).groupBy("path", "block").agg(F.max_by(F.regexp_extract("value", r"Writing at time:\s*(\d+\.\d+)", 1).cast("double"), "line").alias("time"))
-    told = F.when(F.col("next_line") == F.col("line") + 1, F.expr("try_cast(regexp_extract(next, 'Output number\\\\s*:\\\\s*(\\\\d+)', 1) AS int)"))
+    number = F.when(F.col("next_line") == F.col("line") + 1, F.expr("try_cast(regexp_extract(next, 'Output number\\\\s*:\\\\s*(\\\\d+)', 1) AS int)"))
     named = later.join(F.broadcast(files), "path").where(F.col("value").contains(F.concat(F.lit(" "), F.col("file"))))
-    named = named.groupBy("path", "file", "block", "start_time").agg(F.max_by(told, "line").alias("number"))
+    named = named.groupBy("path", "file", "block", "start_time").agg(F.max_by(number, "line").alias("number"))
     found = named.join(times, ["path", "block"])
     fname = F.concat(F.substring_index("file", ".", 1), F.lit("0.f"), F.lpad(F.col("number").cast("string"), 5, "0"))
     out = timeaverage.intervals(found.withColumn("fname", fname), "time", ["path", "file"], ["block"], F.col("start_time"))
