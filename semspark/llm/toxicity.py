@@ -17,6 +17,8 @@ from semspark.llm.text import ALNUM, fields, slices, tokenize
 
 #: Bounds: labelled rows learned from (those of the least hash), terms, examples in a block, neighbours.
 EXAMPLES, TERMS, BLOCK, NEIGHBOURS = 20_000, 1024, 64, 15
+#: Blocks evaluated before the first comparison of bounds.
+FIRST = 8
 #: Terms are kept from this chi-squared (p below 0.001) and this many documents on.
 CHI2, LEAST_DOCS = 10.83, 3
 #: Weight of the prior among the votes, and levels of the calibration.
@@ -57,26 +59,27 @@ def vectors(texts: pa.Array, terms: pa.StringArray, idf: np.ndarray) -> Iterator
 
 
 def nearest(x: Index, term: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """The k examples of highest cosine above 0, ties to the earlier one: blocks by falling bound until none can matter."""
+    """The k examples of highest cosine above 0, ties to the earlier one.
+
+    The FIRST blocks by falling bound give a threshold; then all blocks whose bound reaches it are evaluated, no others.
+    """
     bounds = x.most[:, term] @ w
     order = np.argsort(-bounds, kind="stable")
     order = order[bounds[order] > 0]
-    best, cos, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
+    best, cos, done, step = np.zeros(0, np.int64), np.zeros(0), 0, FIRST
     while done < len(order):
-        if len(cos) >= k and bounds[order[done]] < cos[k - 1] - 1e-9:
+        if len(cos) >= k:
+            order = order[: int(np.searchsorted(-bounds[order], 1e-9 - cos[k - 1], "right"))]
+        some = order[done : done + step]
+        if not len(some):
             break
-        sums: list[np.ndarray] = []
-        for b in order[done : done + step].tolist():
-            acc = np.zeros(BLOCK)
-            for t, v in zip(term.tolist(), w.tolist(), strict=True):
-                lo, hi = x.ptr[t, b], x.ptr[t, b + 1]
-                if lo < hi:
-                    acc[x.examples[lo:hi] - b * BLOCK] += v * x.weights[lo:hi]
-            hit = np.flatnonzero(acc)
-            sums.append(np.stack((hit + b * BLOCK, acc[hit])))
-        done, step = done + step, step * 2
-        found = np.concatenate(sums, 1)
-        best, cos = np.concatenate((best, found[0].astype(np.int64))), np.concatenate((cos, np.round(found[1], 9)))
+        lo, hi = x.ptr[term[:, None], some], x.ptr[term[:, None], some + 1]
+        n = (hi - lo).ravel()
+        at = np.repeat(lo.ravel() - np.cumsum(n) + n, n) + np.arange(int(n.sum()))  # postings of these terms in these blocks
+        hit, place = np.unique(x.examples[at], return_inverse=True)
+        sums = np.bincount(place, np.repeat(np.repeat(w, len(some)), n) * x.weights[at])
+        done, step = done + step, len(order)
+        best, cos = np.concatenate((best, hit)), np.concatenate((cos, np.round(sums, 9)))
         keep = best != skip
         best, cos = best[keep], cos[keep]
         top = np.lexsort((best, -cos))[:k]
