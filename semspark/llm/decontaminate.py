@@ -208,7 +208,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
             merged = merged.unionByName(part)
         merged = cut(merged.withColumn("own", F.xxhash64(F.to_json("row"), "key")))
         head = merged.groupBy("own", "key").agg(F.first("row").alias("row"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.expr(f"count(*) div {blocks}").alias("copies"))
-        join = F.aggregate("all", F.expr("CAST(array() AS array<struct<start: long, stop: long>>)"), lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["stop"] >= x["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["stop"], x["stop"]).alias("stop"))))).otherwise(F.concat(done, F.array(x))))
+        kind = "array<struct<start: long, stop: long>>"
+        last = lambda done: F.element_at(done, -1)
+        joined = lambda done, x: F.struct(last(done)["start"].alias("start"), F.greatest(last(done)["stop"], x["stop"]).alias("stop"))
+        step = lambda done, x: F.when((F.size(done) > 0) & (last(done)["stop"] >= x["start"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined(done, x)).cast(kind)).cast(kind)).otherwise(F.concat(done, F.array(x).cast(kind)).cast(kind))
+        join = F.aggregate("all", F.array().cast(kind), step)
         merged = head.select("row", "n_words", join.alias("spans"), "items", F.explode(F.expr("sequence(1, copies)")))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
     out = merged.select("row" if carry else "row.*", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
