@@ -90,7 +90,7 @@ def grow(urls: Sequence[tuple[str | None, str, str]], y: np.ndarray) -> Trees:
     y = y.astype(float)
     share_ = (y.sum() + 0.5) / (len(y) + 1)
     one_kind = not len(y) or y.min() == y.max()
-    base = float(np.log(share_ / (1 - share_))) if one_kind else 0.0
+    base = -1.0 if not len(y) else float(np.log(share_ / (1 - share_))) if one_kind else 0.0
     weight = np.where(y > 0, 0.5 / share_, 0.5 / (1 - share_))
     seen: dict[str, list[float]] = {}
     for (_, host, _), label in zip(urls, y, strict=True):
