@@ -19,6 +19,8 @@ from semspark.llm.text import ALNUM, fields, slices, tokenize
 EXAMPLES, TERMS, BLOCK, NEIGHBOURS = 20_000, 1024, 64, 15
 #: Blocks evaluated before the first comparison of bounds.
 FIRST = 8
+#: Lengths of the stems that are terms beside the words.
+PREFIXES = (4, 5, 6)
 #: Terms are kept from this chi-squared (p below 0.001) and this many documents on.
 CHI2, LEAST_DOCS = 10.83, 3
 #: Weight of the prior among the votes, and levels of the calibration.
@@ -44,15 +46,41 @@ class Index(NamedTuple):
     curve: tuple[np.ndarray, np.ndarray]
 
 
+def term_columns(words: pa.Array) -> list[pa.Array]:
+    """For each of some words its terms: itself, and its first 4, 5 and 6 characters (marked) where it has more.
+
+    Stems carry what inflected or disguised words have in common.
+    """
+    words = words.cast(pa.string())
+    sizes = pc.utf8_length(words)
+    out = [words]
+    for n in PREFIXES:
+        stem = pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, n), "*", "")
+        out.append(pc.if_else(pc.greater(sizes, n), stem, pa.scalar(None, pa.string())))
+    return out
+
+
+def term_pairs(texts: pa.Array, place) -> tuple[np.ndarray, np.ndarray, int]:
+    """(text, term) numbers of all terms in texts; place gives the numbers of an array of terms, -1 for none."""
+    tokens = tokenize(texts, ALNUM)
+    words = tokens.words.dictionary_encode()
+    codes, owner = words.indices.to_numpy(), tokens.owners()
+    owners, terms = [], []
+    for column in term_columns(words.dictionary):
+        at = place(column)[codes] if len(codes) else np.zeros(0, np.int64)
+        some = at >= 0
+        owners.append(owner[some])
+        terms.append(at[some])
+    return np.concatenate(owners), np.concatenate(terms), len(tokens.ends) - 1
+
+
 def vectors(texts: pa.Array, terms: pa.StringArray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text its terms and unit TF-IDF weights, with (1 + ln tf) for tf."""
-    tokens = tokenize(texts, ALNUM)
-    at = pc.fill_null(pc.index_in(tokens.words, terms.cast(tokens.words.type)), -1).to_numpy().astype(np.int64)
-    owner, some = tokens.owners(), at >= 0
-    pair, tf = np.unique(owner[some] * (len(terms) + 1) + at[some], return_counts=True)
+    owner, term, n = term_pairs(texts, lambda c: pc.fill_null(pc.index_in(c, terms, skip_nulls=True), -1).to_numpy().astype(np.int64))
+    pair, tf = np.unique(owner * (len(terms) + 1) + term, return_counts=True)
     owner, term = pair // (len(terms) + 1), pair % (len(terms) + 1)
     w = (1 + np.log(tf)) * idf[term]
-    ends = np.searchsorted(owner, np.arange(len(tokens.ends)))
+    ends = np.searchsorted(owner, np.arange(n + 1))
     for a, b in zip(ends[:-1], ends[1:], strict=True):
         part = w[a:b]
         yield term[a:b], part / np.sqrt(part @ part) if len(part) else part
@@ -153,13 +181,17 @@ def learn(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            tokens = tokenize(batch.column("text"), ALNUM)
-            words = tokens.words.dictionary_encode()
-            size = max(len(words.dictionary), 1)
-            pair = np.unique(tokens.owners() * size + words.indices.to_numpy())
+            known: dict[str, int] = {}
+
+            def place(column: pa.Array) -> np.ndarray:
+                return np.array([-1 if x is None else known.setdefault(x, len(known)) for x in column.to_pylist()], np.int64)
+
+            owner, term, _ = term_pairs(batch.column("text"), place)
+            size = max(len(known), 1)
+            pair = np.unique(owner * size + term)
             toxic = batch.column("label").to_numpy()[pair // size]
-            all_, pos = np.bincount(pair % size, minlength=len(words.dictionary)), np.bincount(pair % size, weights=toxic, minlength=len(words.dictionary))
-            yield pa.RecordBatch.from_arrays([words.dictionary.cast(pa.string()), pa.array(all_[: len(words.dictionary)].astype(np.int64)), pa.array(pos[: len(words.dictionary)].astype(np.int64))], names=["term", "n", "pos"])
+            n, pos = np.bincount(pair % size, minlength=size), np.bincount(pair % size, weights=toxic, minlength=size)
+            yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), pa.array(n[: len(known)].astype(np.int64)), pa.array(pos[: len(known)].astype(np.int64))], names=["term", "n", "pos"])
 
     totals = distinct.agg(F.count("*"), F.sum("label")).first()
     n, pos = totals[0], totals[1] or 0
@@ -189,7 +221,7 @@ def score(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str =
     """Per row: id (if carry, instead a struct ``row`` of all columns), held_out, score, predicted and evidence.
 
     ``learns`` is a condition on id_col that says whose labels may be learned. Words are letters, digits and all beyond
-    ASCII, A-Z lowered. Terms are the TERMS words of highest chi-squared between the labels among the examples (exact
+    ASCII, A-Z lowered. Terms are the TERMS words and stems of highest chi-squared between the labels among the examples (exact
     copies counted once), since words that don't tell the labels apart only blur the distances. A score is the vote of
     the NEIGHBOURS nearest examples by cosine, calibrated on the examples themselves, each left out in turn; a text
     without any term (an empty or null one too) has the share of label 1 among such examples. Evidence lists the nearest
