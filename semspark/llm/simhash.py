@@ -63,8 +63,9 @@ def links(table: DataFrame, distance: int = 2) -> DataFrame:
     if distance == 0:
         return table.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
     half = BITS // SEGMENTS
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     flips = F.array(F.lit(-1), *(F.lit(s * half + i) for s in range(SEGMENTS) for i in range(half)))
-    balls = table.select("fp", F.explode(flips).alias("i"))
+    balls = table.select("fp").repartition(parts, "fp").select("fp", F.explode(flips).alias("i"))  # each row becomes 65
     key = F.when(F.col("i") < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(_bit(F.greatest("i", F.lit(0)))))
     mask = F.when(F.col("i") < 0, F.lit(0).cast("long")).otherwise(_bit(F.greatest("i", F.lit(0))))
     hits = balls.select(key.alias("key"), mask.alias("mask"), (F.col("i") < 0).alias("own")).groupBy("key").agg(F.bit_or("mask").alias("mask"), F.bool_or("own").alias("own"))
