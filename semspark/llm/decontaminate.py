@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semspark.llm.scratch import cut, share
-from semspark.llm.text import ALNUM, fields, slices, tokenize, word_sizes
+from semspark.llm.text import ALNUM, fields, slices, tokenize, with_text, word_sizes
 
 WINDOW, SHINGLE = 13, 3
 #: Words of benchmark items broadcast at once.
@@ -154,15 +154,15 @@ def verified(w: Windows, lead: dict, texts: pa.Array) -> Iterator[tuple[np.ndarr
                 yield start[some][same], window[some][same], doc[some][same]
 
 
-def _block(docs: DataFrame, w: Windows) -> DataFrame:
-    """Rows of docs (row, text) with n_words, spans (merged word ranges of hits) and items, against one block of items."""
+def _block(docs: DataFrame, texts: DataFrame, w: Windows, text_col: str) -> DataFrame:
+    """Rows of docs (row, or row and text) with n_words, spans (merged word ranges of hits) and items, against one block of items."""
     spark = docs.sparkSession
-    shared = share(spark, (w, prefixes(w, rarity(docs, w))))
+    shared = share(spark, (w, prefixes(w, rarity(texts, w))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, lead = shared()
         sizes = np.diff(w.begins)
-        for batch in slices(batches, "text"):
+        for batch in slices(with_text(batches, text_col), "text"):
             texts = batch.column("text")
             n_words, rows = word_sizes(texts, ALNUM), batch.num_rows
             at = np.concatenate(([0], np.cumsum(n_words)))
@@ -194,14 +194,15 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     is the text "null".
     """
     columns = [F.col(f"`{c}`") for c in documents.columns] if carry else [F.col(id_col)]
-    docs = documents.select(F.struct(*columns).alias("row"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string").alias("text")
+    docs = documents.select(F.struct(*columns).alias("row"), *([] if carry else [text]))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (5 * ITEM_WORDS)))  # no word takes less than two characters with its blank, most six
     parts = []
     for k in range(blocks):
         some = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        parts.append(_block(docs, windows([(r["item"], r["text"]) for r in some.toLocalIterator()])))
+        parts.append(_block(docs, documents.select(text), windows([(r["item"], r["text"]) for r in some.toLocalIterator()]), text_col))
     merged = parts[0]
     if blocks > 1:  # hits of the blocks come together by row; copies of a row are told by how often each block gives it
         for part in parts[1:]:

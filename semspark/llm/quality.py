@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semspark.llm.scratch import cut, share
-from semspark.llm.text import BLANKS_KEEP_CASE, fields, slices
+from semspark.llm.text import BLANKS_KEEP_CASE, fields, slices, with_text
 
 #: Share of the pooled diagonal in each class's covariance, and what is added to the variances of unit scale.
 SHRINKAGE, RIDGE = 0.1, 0.3
@@ -100,11 +100,11 @@ def fit(moments: dict[int, tuple[int, np.ndarray, np.ndarray]]) -> Discriminant
     return Discriminant(centre, scale, np.array(mid), np.array(whiten), np.array(constants))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(row, x) from rows (row, text)."""
+def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(row, x) from rows (row, text), or with the text within row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(with_text(batches, text_col), "text"):
             x = pa.array([statistics(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("row"), x], names=["row", "x"])
 
@@ -146,8 +146,8 @@ def score(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["row", "score", "predicted"])
 
     if carry:
-        own = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
-        out = features(own).mapInArrow(rate, fields("score double, predicted int", row=own.schema["row"].dataType))
+        own = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
+        out = features(own, text_col).mapInArrow(rate, fields("score double, predicted int", row=own.schema["row"].dataType))
         return out.select("row", "score", "predicted")
     table = table.select(F.struct("id", "learn").alias("row"), "x")
     out = table.mapInArrow(rate, fields("score double, predicted int", row=table.schema["row"].dataType))

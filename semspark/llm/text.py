@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -100,6 +102,21 @@ def word_sizes(texts: pa.Array, table: bytes = BLANKS) -> np.ndarray:
     return np.diff(np.searchsorted(np.flatnonzero(first), at))
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers are used again, and so would keep the most they ever held."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def with_text(batches: Iterable[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """Batches with a column ``text``, taken from the struct column ``row`` where it isn't there: it travels once."""
+    for batch in batches:
+        if "text" not in batch.schema.names:
+            batch = batch.append_column("text", batch.column("row").field(text_col).cast(pa.string()))
+        yield batch
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces whose texts together hold about SLICE_BYTES, a longer text alone."""
     for batch in batches:
@@ -110,6 +127,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Record
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
+        release()
 
 
 def crc_fold(key: str, folds: int) -> Column:

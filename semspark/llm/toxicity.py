@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from semspark.llm.scratch import cut, share
-from semspark.llm.text import ALNUM, fields, slices, tokenize
+from semspark.llm.text import ALNUM, fields, slices, tokenize, with_text
 
 #: Bounds: labelled rows learned from (those of the least hash), terms, examples in a block, neighbours.
 EXAMPLES, TERMS, BLOCK, NEIGHBOURS = 20_000, 1024, 64, 15
@@ -229,13 +229,14 @@ def score(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str =
     """
     index = share(documents.sparkSession, learn(documents, labels, learns, id_col, text_col, label_col))
     columns = [F.col(f"`{c}`") for c in documents.columns] if carry else [F.col(id_col)]
-    docs = documents.select(F.struct(*columns).alias("row"), (~F.coalesce(learns, F.lit(False))).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    text = [] if carry else [F.col(text_col).cast("string").alias("text")]
+    docs = documents.select(F.struct(*columns).alias("row"), (~F.coalesce(learns, F.lit(False))).alias("held_out"), *text)
     id_kind = documents.schema[id_col].dataType.simpleString()
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = index()
         memo: dict[bytes, tuple] = {}
-        for batch in slices(batches, "text"):
+        for batch in slices(with_text(batches, text_col), "text"):
             scores, notes = [], []
             for term, w in vectors(batch.column("text"), x.terms, x.idf) if len(x.terms) else [(np.zeros(0, int), np.zeros(0))] * batch.num_rows:
                 key = term.tobytes() + w.tobytes()
