@@ -69,6 +69,13 @@ def boxed(u: np.ndarray, dims: int = 3) -> np.ndarray:
     return u.reshape(len(u), n if dims == 3 else 1, n, n)
 
 
+def with_field(df: DataFrame, name: str, value: Column, overwrite: bool = False) -> DataFrame:
+    """Append a field; replacing one needs overwrite."""
+    if name in df.columns and not overwrite:
+        raise ValueError(f"there is a field {name}")
+    return df.withColumn(name, value)
+
+
 def points(df: DataFrame, fields: Sequence[str], n: int, dims: int = 3) -> DataFrame:
     """One row for each node: the other columns, k, j, i and the fields' values."""
     others = [c for c in df.columns if c not in fields]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semspark.functions import basis
-from semspark.operators import calculus, compression, elements, locate, orientation, pointclouds, reductions, rom, tensors, timeaverage, topology
+from semspark.operators import calculus, compression, elements, locate, orientation, pointclouds, reductions, rom, statistics, tensors, timeaverage, topology
 from semspark.streaming import moments
 
 N = 4
@@ -594,6 +594,24 @@ def kolmogorov_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", F.round("eps", 9).alias("eps"), F.round(calculus.kolmogorov(F.col("eps"), 0.01), 6).alias("eta"))
 
 
+_HALF = np.concatenate(([basis.gll(N)[0][1] + 1], basis.gll(N)[0][2:] - basis.gll(N)[0][:-2], [1 - basis.gll(N)[0][-2]])) / 2
+
+
+@query(f"""WITH {vector(_HALF, "h")}, n AS (SELECT unnest(range(64)) AS x)
+SELECT vec_id AS elem_id, x AS node, round(a.w * (1 + vec_id % 2) / 2, 6) AS dx, round(b.w / 2, 6) AS dy, round(c.w * (0.5 + vec_id % 3) / 2, 6) AS dz
+FROM embeddings, n JOIN h a ON a.a = x % 4 JOIN h b ON b.a = (x // 4) % 4 JOIN h c ON c.a = x // 16""")
+def mesh_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = statistics.spacing(box_mesh(spark, sf_dir)).select("elem_id", F.posexplode(F.arrays_zip("dx", "dy", "dz")).alias("node", "s"))
+    return s.select("elem_id", F.col("node").cast("long").alias("node"), *(near(f"s.{c}").alias(c) for c in ("dx", "dy", "dz")))
+
+
+@query("""SELECT user_id, round(avg(value) FILTER (event_type = 'click'), 6) AS click, round(avg(value) FILTER (event_type = 'view'), 6) AS view FROM events GROUP BY user_id""")
+def statistics_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 2)
+    rows = table(spark, sf_dir, "events").withColumn("field_id", kinds)
+    return statistics.pivot(rows, {1: "click", 2: "view"}, ["user_id"], lambda c: F.round(F.avg(c), 6))
+
+
 # Reduced-order models
 
 

@@ -207,3 +207,42 @@ def test_averages(spark):
     assert np.isclose(reductions.mean(nodes, ["x"], "b").first()["x"], 3.0)
     keyed = reductions.centroid_keys(m, 5, "z")
     assert keyed.select("c1", "c2").distinct().count() == 6
+
+
+def test_budgets_of_a_laminar_flow_vanish(spark):
+    """Averages that are products of the mean leave no Reynolds terms; of u = (y, 0, 0) the momentum balances."""
+    from semspark.operators import statistics, tensors
+
+    m = calculus.geometry(mesh(spark, 4, 2, curved=False))
+    value = {"u": F.col("y"), "v": F.transform("x", lambda x: x * 0), "w": F.transform("x", lambda x: x * 0), "p": F.col("z")}
+    snap = statistics.augmented_fields(m.withColumns(value), 4)
+    assert len([c for c in snap.columns if c not in ("elem_id", "k", "j", "i")]) == 44
+    assert set(tensors.STAT_FIELDS) == set(snap.columns) - {"elem_id", "k", "j", "i"}
+    rows = F.sort_array(F.collect_list(F.struct("k", "j", "i", *tensors.STAT_FIELDS)))
+    packed = snap.groupBy("elem_id").agg(rows.alias("r"))
+    stats = packed.select("elem_id", *(F.col(f"r.{c}").alias(c) for c in tensors.STAT_FIELDS))
+    full = stats.join(m.drop("x", "y", "z"), "elem_id")
+    out = tensors.budgets(statistics.budget_fields(full, 4), 100.0)
+    terms = [c for c in out.columns if c.startswith(("R", "production", "dissipation", "turbulent", "viscous", "pressure_strain", "pressure_transport", "convection", "tke", "T", "F"))]
+    worst = out.agg(*(F.max(F.abs(c)).alias(c) for c in terms)).first()
+    assert all(worst[c] < 1e-9 for c in terms)
+    assert np.isclose(out.agg(F.max("momentum_residual_3")).first()[0], -1)  # only the pressure's gradient is left
+
+
+def test_mesh_check(spark):
+    from semspark.operators import statistics
+
+    g = statistics.spacing(calculus.geometry(mesh(spark, curved=False)))
+    nodes = elements.points(g.select("elem_id", "dx", "dy", "dz", "b"), ["dx", "dy", "dz", "b"], 5).withColumn("eps", F.lit(1.0))
+    got = statistics.mesh_check(nodes, 1.0).collect()
+    assert all(r["eta"] == 1.0 and 0.2 < r["dx"] < 0.3 and np.isclose(r["dx"], r["dz"]) for r in got)
+    with pytest.raises(ValueError, match="there is a field"):
+        elements.with_field(g, "dx", F.lit(1))
+
+
+def test_two_dimensional_statistics(spark):
+    from semspark.operators import statistics
+
+    df = spark.createDataFrame([(0, *map(float, range(44)))], "elem_id long, " + ", ".join(f"s{i} double" for i in range(44)))
+    r = statistics.from_2d(df).first()
+    assert (r["u"], r["p"], r["t"], r["s39"], r["s0"], r["s12"]) == (0.0, 3.0, 7.0, 2.0, 4.0, 34.0)
