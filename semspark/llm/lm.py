@@ -107,7 +107,8 @@ def frequent(counts: DataFrame, most: int) -> list:
         if seen + row["count"] > most:
             break
         seen, level = seen + row["count"], row["level"]
-    return sorted(((r["n"], r["word"]) for r in short.where(F.col("level") >= level).select("word", "n").toLocalIterator()), key=lambda x: (-x[0], x[1]))
+    rows = short.where(F.col("level") >= level).select("word", "n").toArrow()  # at most ``most``
+    return sorted(zip(rows["n"].to_pylist(), rows["word"].to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
 
 
 def vocabulary(counts: DataFrame) -> Words:
