@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
@@ -39,3 +40,14 @@ def cut(df: DataFrame) -> DataFrame:
     folder = shared_folder(spark)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows of df, those of the least hash of their key; all, if there are no more.
+
+    Rows are thinned by hash where they lie, so that about ``most`` rows move, however many there are.
+    """
+    n, grain = df.count(), 1 << 30
+    if n > most:
+        df = df.where(F.pmod(F.xxhash64(key), F.lit(grain)) < int(grain * most / n))
+    return df.orderBy(F.pmod(F.xxhash64(key), F.lit(grain)), key).limit(most)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from semspark.llm.scratch import cut, share
+from semspark.llm.scratch import bounded_sample, cut, share
 from semspark.llm.text import ALNUM, fields, slices, tokenize, with_text
 
 #: Bounds: labelled rows learned from (those of the least hash), terms, examples in a block, neighbours.
@@ -174,7 +174,7 @@ def learn(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str,
     spark = documents.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
     some = known.groupBy("id").agg(F.max("label").alias("label"))
-    some = some.withColumnRenamed("id", id_col).where(learns).select(F.col(id_col).alias("id"), "label").orderBy(F.xxhash64("id"), "id").limit(EXAMPLES)
+    some = bounded_sample(some.withColumnRenamed("id", id_col).where(learns).select(F.col(id_col).alias("id"), "label"), "id", EXAMPLES)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sample = cut(docs.join(F.broadcast(some), "id").select("id", "label", F.coalesce("text", F.lit("")).alias("text")))
     distinct = sample.groupBy(F.xxhash64("text").alias("h"), F.sha1("text").alias("s")).agg(F.max("label").alias("label"), F.first("text").alias("text"))

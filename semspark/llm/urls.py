@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semspark.llm.scratch import share
+from semspark.llm.scratch import bounded_sample, share
 from semspark.llm.text import fields
 
 #: Labelled URLs that the trees learn from, those of the least hash.
@@ -144,7 +144,7 @@ def grow(urls: Sequence[tuple[str | None, str, str]], y: np.ndarray) -> Trees:
 def train(labelled: DataFrame) -> Trees:
     """From (url, host, path, label): at most EXAMPLES distinct labelled URLs, label 1 to block."""
     rows = labelled.where("label IN (0, 1) AND url IS NOT NULL").groupBy("url", "host", "path").agg(F.max("label").alias("label"))
-    rows = rows.orderBy(F.xxhash64("url"), "url").limit(EXAMPLES).collect()
+    rows = bounded_sample(rows, "url", EXAMPLES).collect()
     return grow([(r["url"], r["host"], r["path"]) for r in rows], np.array([r["label"] for r in rows], float))
 
 
