@@ -16,7 +16,7 @@ from semspark.llm.scratch import bounded_sample, cut, share
 from semspark.llm.text import ALNUM, fields, slices, tokenize, with_text
 
 #: Bounds: labelled rows learned from (those of the least hash), terms, examples in a block, neighbours.
-EXAMPLES, TERMS, BLOCK, NEIGHBOURS = 20_000, 1024, 64, 15
+EXAMPLES, TERMS, BLOCK, NEIGHBOURS = 20_000, 1024, 64, 40
 #: Blocks evaluated before the first comparison of bounds.
 FIRST = 8
 #: Lengths of the stems that are terms beside the words.
