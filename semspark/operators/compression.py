@@ -22,9 +22,12 @@ def keep_largest(df: DataFrame, field: str, keep: int, out: str) -> DataFrame:
 
     Within the JVM, in the row: no shuffle, whatever the number of elements.
     """
-    ranked = F.array_sort(F.transform(F.col(field), lambda x, i: F.struct((-F.abs(x)).alias("m"), i.alias("i"))))
-    chosen = F.transform(F.slice(ranked, 1, keep), lambda r: r["i"])
-    return df.withColumn("_kept", chosen).withColumn(out, F.transform(F.col(field).cast("array<double>"), lambda x, i: F.when(F.array_contains("_kept", i), x).otherwise(0.0))).drop("_kept")
+    rank = lambda x, i: F.struct((-F.abs(x)).alias("m"), i.alias("i"))
+    ranked = F.array_sort(F.transform(F.col(field).cast("array<double>"), rank))
+    last = F.get(ranked, F.lit(keep - 1))  # null if there are no more than these
+    # bound as a lambda's variable, or the optimizer would rank the array anew for each of its values
+    under = lambda t: F.transform(F.col(field).cast("array<double>"), lambda x, i: F.when(F.lit(keep > 0) & F.coalesce(rank(x, i) <= t, F.lit(True)), x).otherwise(0.0))
+    return df.withColumn(out, F.transform(F.array(last), under)[0])
 
 
 def truncate(df: DataFrame, field: str, bitrate: float, out: str | None = None, dims: int = 3) -> DataFrame:
