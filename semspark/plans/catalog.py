@@ -6,6 +6,8 @@ weight, and box meshes are made from ids. Values are rounded well away from thei
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from semspark.functions import basis
 from semspark.operators import calculus, compression, elements, locate, orientation, pointclouds, reductions, rom, statistics, tensors, timeaverage, topology
+from semspark.sources import fld, index, probes
 from semspark.streaming import moments
 
 N = 4
@@ -681,3 +684,75 @@ def element_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     turned = box_mesh(spark, sf_dir).select("elem_id", *(F.reverse(c).alias(c) for c in "xyz"))
     out = orientation.mappings(orientation.aligned(turned))
     return out.select("elem_id", F.array_join("mapping", ",").alias("mapping"), F.array_join("by_normals", ",").alias("by_normals"))
+
+
+@query("""SELECT vec_id AS probe_id, CAST(vec_id // 100 AS BIGINT) AS i, CAST((vec_id // 10) % 10 AS BIGINT) AS j, vec_id % 10 AS k FROM embeddings""")
+def grid_and_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("probe_id"))
+    grid = probes.list_to_grid(e, (0, 10, 10)).drop("probe_id")
+    return probes.grid_to_list(grid, (0, 10, 10)).select("probe_id", "i", "j", "k")
+
+
+# Files
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='semspark-')}"
+    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+@query("""SELECT vec_id AS elem_id, x AS node, 2 * CAST(embedding[x + 1] AS DOUBLE) AS s0 FROM embeddings, (SELECT unnest(range(64)) AS x)""")
+def field_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fields(spark, sf_dir).select("elem_id", F.col("u").alias("p"), F.transform("u", lambda x: 2 * x).alias("s0"))
+    path = folder(spark)
+    fld.write(e, path, "field", 1, 2.5, 7, 8, 3)
+    got = fld.read(spark, f"{path}/field*.f00001", ["s0"])
+    return got.select("elem_id", F.posexplode("s0").alias("node", "s0")).withColumn("node", F.col("node").cast("long"))
+
+
+@query("""SELECT f AS fname, CAST(count(*) AS BIGINT) AS elements, 2.5 AS time FROM (SELECT 1) o, (VALUES ('field0.f00001'), ('field1.f00001')) t(f), embeddings WHERE vec_id % 2 = CAST(substr(f, 6, 1) AS INTEGER) GROUP BY f""".replace("2.5 AS time", "CAST(2.5 AS DOUBLE) AS time"))
+def field_file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fields(spark, sf_dir).withColumn("elem_id", F.col("elem_id") % 2 * 10_000_000 + F.col("elem_id")).select("elem_id", F.col("u").alias("p"))
+    path = folder(spark)
+    for part in (0, 1):
+        half = e.where(F.floor(F.col("elem_id") / 10_000_000) == part)
+        fld.write(half, f"{path}/{part}", "field", 1, 2.5)
+    heads = [fld.headers(spark, f"{path}/{part}/field0.f00001").withColumn("fname", F.lit(f"field{part}.f00001")) for part in (0, 1)]
+    return heads[0].unionByName(heads[1]).select("fname", "elements", "time")
+
+
+@query(f"""WITH {_EVENTS} SELECT CAST(row_number() OVER w - 1 AS INTEGER) AS idx, 'out' || event_id AS fname, time, round(time - coalesce(lag(time) OVER w, 5.0), 3) AS time_interval, CAST(5 AS DOUBLE) AS start_time
+FROM e WHERE user_id = 1 WINDOW w AS (ORDER BY time, event_id)""")
+def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("user_id = 1").withColumn("time", seconds(F.col("ts")))
+    rows = timeaverage.intervals(e, "time", [], ["event_id"], 5.0).withColumn("fname", F.concat(F.lit("out"), F.col("event_id")))
+    path = folder(spark)
+    index.write_json(rows, path, 5.0)
+    return index.read_json(spark, path).select("idx", "fname", "time", F.round("time_interval", 3).alias("time_interval"), "start_time")
+
+
+@query("""SELECT vec_id % 20 AS probe_id, CAST(vec_id // 20 AS BIGINT) AS snapshot, CAST(vec_id // 20 AS DOUBLE) AS t, CAST(embedding[1] AS DOUBLE) AS u FROM embeddings WHERE vec_id < 400""")
+def probe_series_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fields(spark, sf_dir).where("elem_id < 400")
+    points = e.where("elem_id < 20").select(F.col("elem_id").alias("probe_id"), *(F.col("u")[i].alias(a) for i, a in enumerate("xyz")))
+    s = F.floor(F.col("elem_id") / 20)
+    series = e.select((F.col("elem_id") % 20).alias("probe_id"), s.alias("snapshot"), s.cast("double").alias("t"), F.col("u")[0].alias("u"))
+    path = folder(spark)
+    probes.write_series(points, series, ["u"], path)
+    return probes.read_series(spark, path)[1]
+
+
+# More of the reduced-order models
+
+
+@query("""WITH v AS (SELECT x AS point, vec_id, CAST(embedding[x + 1] AS DOUBLE) AS u FROM embeddings, (SELECT unnest(range(64)) AS x) WHERE vec_id < 20)
+SELECT CAST(1 AS BIGINT) AS n, round(sum(u * u), 5) AS energy FROM v""")
+def streaming_pod_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All modes of 20 snapshots, in four batches, hold the snapshots' energy."""
+    rows = fields(spark, sf_dir).where("elem_id < 20").select("elem_id", F.posexplode("u").alias("point", "v"))
+    wide = rows.groupBy("point").agg(F.transform(F.sort_array(F.collect_list(F.struct("elem_id", "v"))), lambda r: r["v"]).alias("u"))
+    state = rom.Streaming(["point"], 20)
+    for i in range(0, 20, 5):
+        state.update(wide.select("point", F.slice("u", i + 1, 5).alias("u")), "u")
+    return spark.createDataFrame([(1, round(float((state.d**2).sum()), 5))], "n long, energy double")
