@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semspark.llm.scratch import cut, share
+from semspark.llm.scratch import cut, share, text_batches
 from semspark.llm.text import ALNUM, fields, slices, tokenize, with_text, word_sizes
 
 WINDOW, SHINGLE = 13, 3
@@ -193,6 +193,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     words no windows; an item shorter than 13 words is one window. Repeated rows and items are kept each; a null item id
     is the text "null".
     """
+    text_batches(documents.sparkSession)
     columns = [F.col(f"`{c}`") for c in documents.columns] if carry else [F.col(id_col)]
     text = F.col(text_col).cast("string").alias("text")
     docs = documents.select(F.struct(*columns).alias("row"), *([] if carry else [text]))

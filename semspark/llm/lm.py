@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semspark.llm.scratch import cut, share
+from semspark.llm.scratch import cut, share, text_batches
 from semspark.llm.text import BLANKS, Tokens, slices, tokenize
 
 HEAD, BUCKETS, COUNTED, WIDTH = 1024, 256, 1 << 18, 16
@@ -274,6 +274,7 @@ def score(documents: DataFrame, learns: Column, id_col: str = "doc_id", text_col
     A null text is empty: one token, its end. Repeated rows are scored each; other columns are ignored. Without any
     training row every count is 0 and the model is its start.
     """
+    text_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learns, F.lit(False)).alias("learn"))
     counts = cut(word_counts(docs.where("learn").select("text")))
     v = vocabulary(counts)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semspark.llm.scratch import cut
+from semspark.llm.scratch import cut, text_batches
 from semspark.llm.text import slices, word_sizes
 
 #: Rows that one flight gets; each leaves two undecided ones at most, so that levels shrink a thousandfold.
@@ -100,6 +100,7 @@ def mix(documents: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
     block at most) go through the next level's blocks, until one block is left for each source, which is landed.
     """
     spark = documents.sparkSession
+    text_batches(spark)
     docs = documents.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semspark.llm.scratch import cut, share
+from semspark.llm.scratch import cut, share, text_batches
 from semspark.llm.text import BLANKS_KEEP_CASE, fields, slices, with_text
 
 #: Share of the pooled diagonal in each class's covariance, and what is added to the variances of unit scale.
@@ -133,6 +133,7 @@ def score(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str =
     A document with both labels counts as 1; null ids and labels teach nothing. Empty and null texts have the statistics of
     no words. With one label only every score is that label's, without any 0.5.
     """
+    text_batches(documents.sparkSession)
     docs = documents.select(F.struct(F.col(id_col).alias("id"), F.coalesce(learns, F.lit(False)).alias("learn")).alias("row"), F.col(text_col).cast("string").alias("text"))
     table = cut(features(docs).select("row.*", "x"))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").groupBy("id").agg(F.max("label").alias("label"))

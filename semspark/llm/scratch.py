@@ -19,6 +19,19 @@ def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
     return lambda: pickle.loads(sent.value)  # noqa: S301
 
 
+#: Rows of an Arrow batch where whole texts go to Python, and the setting that bounds them.
+TEXT_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches to TEXT_ROWS rows, unless something else than Spark's default is set.
+
+    The JVM and Python each hold several copies of a batch outside the heap; rows with texts are large.
+    """
+    if spark.conf.get(BATCH_SETTING, "10000") == "10000":
+        spark.conf.set(BATCH_SETTING, str(TEXT_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, removed when the session's file systems close.
 

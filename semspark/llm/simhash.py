@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semspark.llm.components import components
-from semspark.llm.scratch import cut
+from semspark.llm.scratch import cut, text_batches
 from semspark.llm.text import BLANKS, slices
 
 SEED, BITS, SEGMENTS = 42, 64, 2
@@ -42,6 +42,7 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
             fps = np.array([fingerprint(x, width) for x in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64)), batch.column("hash")], names=["id", "fp", "hash"])
 
+    text_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.select("id", F.xxhash64("text").alias("hash"), "text")
     return docs.mapInArrow(work, f"id {docs.schema['id'].dataType.simpleString()}, fp long, hash long")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from semspark.llm.scratch import bounded_sample, cut, share
+from semspark.llm.scratch import bounded_sample, cut, share, text_batches
 from semspark.llm.text import ALNUM, fields, slices, tokenize, with_text
 
 #: Bounds: labelled rows learned from (those of the least hash), terms, examples in a block, neighbours.
@@ -227,6 +227,7 @@ def score(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str =
     without any term (an empty or null one too) has the share of label 1 among such examples. Evidence lists the nearest
     examples with id, cosine and label. Without labels every score is 0.
     """
+    text_batches(documents.sparkSession)
     index = share(documents.sparkSession, learn(documents, labels, learns, id_col, text_col, label_col))
     columns = [F.col(f"`{c}`") for c in documents.columns] if carry else [F.col(id_col)]
     text = [] if carry else [F.col(text_col).cast("string").alias("text")]
