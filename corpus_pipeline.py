@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from semspark.llm import decontaminate, mixing, quality, simhash, toxicity
 from semspark.llm.queries import read

@@ -170,13 +170,15 @@ def build(terms: list[str], idf: np.ndarray, rows: list[tuple]) -> Index:
 
 
 def learn(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str, text_col: str, label_col: str) -> Index:
-    """Fit on at most EXAMPLES labelled documents where ``learns``; a document with both labels counts as 1."""
+    """Fit on at most EXAMPLES labelled documents where ``learns``; one with both labels counts as 1, and of several texts
+    of an id the least is learned from."""
     spark = documents.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
     some = known.groupBy("id").agg(F.max("label").alias("label"))
     some = bounded_sample(some.withColumnRenamed("id", id_col).where(learns).select(F.col(id_col).alias("id"), "label"), "id", EXAMPLES)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = cut(docs.join(F.broadcast(some), "id").select("id", "label", F.coalesce("text", F.lit("")).alias("text")))
+    joined = docs.join(F.broadcast(some), "id").select("id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    sample = cut(joined.groupBy("id", "label").agg(F.min("text").alias("text")))  # one text for each id, however often it repeats
     distinct = sample.groupBy(F.xxhash64("text").alias("h"), F.sha1("text").alias("s")).agg(F.max("label").alias("label"), F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
