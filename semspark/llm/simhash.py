@@ -109,7 +109,8 @@ def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text any one stays.
     """
     docs, tied = classes(documents, id_col, text_col, width, distance)
-    first = docs.join(tied.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "hash")).alias("x"))
+    each = docs.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "hash")).alias("x"))  # partial first
+    first = each.join(tied.select("fp", "root"), "fp").groupBy("root").agg(F.min("x").alias("x"))
     kept = first.select(F.col("x.id").alias("kept"), F.col("x.hash").alias("kept_hash"))
     rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
     rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
