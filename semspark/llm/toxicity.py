@@ -17,6 +17,8 @@ from semspark.llm.text import ALNUM, fields, slices, tokenize, with_text
 
 #: Bounds: labelled rows learned from (those of the least hash), terms, examples in a block, neighbours.
 EXAMPLES, TERMS, BLOCK, NEIGHBOURS = 20_000, 1024, 64, 40
+#: Examples that the calibration is fitted on, evenly spaced.
+CALIBRATED = 4000
 #: Blocks evaluated before the first comparison of bounds.
 FIRST = 8
 #: Lengths of the stems that are terms beside the words.
@@ -86,7 +88,7 @@ def vectors(texts: pa.Array, terms: pa.StringArray, idf: np.ndarray) -> Iterator
         yield term[a:b], part / np.sqrt(part @ part) if len(part) else part
 
 
-def nearest(x: Index, term: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+def nearest(x: Index, term: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k examples of highest cosine above 0, ties to the earlier one.
 
     The FIRST blocks by falling bound give a threshold; then all blocks whose bound reaches it are evaluated, no others.
@@ -108,8 +110,6 @@ def nearest(x: Index, term: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -
         sums = np.bincount(place, np.repeat(np.repeat(w, len(some)), n) * x.weights[at])
         done, step = done + step, len(order)
         best, cos = np.concatenate((best, hit)), np.concatenate((cos, np.round(sums, 9)))
-        keep = best != skip
-        best, cos = best[keep], cos[keep]
         top = np.lexsort((best, -cos))[:k]
         best, cos = best[top], cos[top]
     return best, cos
@@ -163,10 +163,16 @@ def build(terms: list[str], idf: np.ndarray, rows: list[tuple]) -> Index:
         examples += own.tolist()
         weights += [v for _, v in posts]
     x = Index(pa.array(terms, pa.string()), idf, [r[0] for r in rows], np.array([r[1] for r in rows], float), ptr, np.array(examples, np.int64), np.array(weights, float), most, prior, float((sum(bare) + prior) / (len(bare) + 1)), (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
-    raw = []
-    for e, (_, _, t, w) in enumerate(rows):  # each example by its neighbours other than itself
-        raw.append(vote(x, *nearest(x, np.array(t, np.int64), np.array(w), NEIGHBOURS, skip=e)))
-    return x._replace(curve=isotonic(np.array(raw), x.labels)) if rows else x
+    raw, picked, memo = [], range(0, len(rows), max(1, -(-len(rows) // CALIBRATED))), {}
+    for e in picked:  # each by its neighbours other than itself; copies have the same ones
+        t, w = np.array(rows[e][2], np.int64), np.array(rows[e][3])
+        key = t.tobytes() + w.tobytes()
+        if key not in memo:
+            memo[key] = nearest(x, t, w, NEIGHBOURS + 1)
+        best, cos = memo[key]
+        keep = best != e
+        raw.append(vote(x, best[keep][:NEIGHBOURS], cos[keep][:NEIGHBOURS]))
+    return x._replace(curve=isotonic(np.array(raw), x.labels[list(picked)])) if rows else x
 
 
 def learn(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str, text_col: str, label_col: str) -> Index:
@@ -225,7 +231,7 @@ def score(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str =
     ``learns`` is a condition on id_col that says whose labels may be learned. Words are letters, digits and all beyond
     ASCII, A-Z lowered. Terms are the TERMS words and stems of highest chi-squared between the labels among the examples (exact
     copies counted once), since words that don't tell the labels apart only blur the distances. A score is the vote of
-    the NEIGHBOURS nearest examples by cosine, calibrated on the examples themselves, each left out in turn; a text
+    the NEIGHBOURS nearest examples by cosine, calibrated on CALIBRATED of the examples at most, each left out in turn; a text
     without any term (an empty or null one too) has the share of label 1 among such examples. Evidence lists the nearest
     examples with id, cosine and label. Without labels every score is 0.
     """
