@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semspark.llm import decontaminate, mixing, quality, simhash, toxicity
+from semspark.llm import decontaminate, jaccard, mixing, quality, toxicity
 from semspark.llm.queries import read
 from semspark.llm.scratch import cut
 from semspark.llm.text import crc_fold
@@ -23,8 +23,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest doc_id."""
-    return simhash.deduplicate(docs)
+    """One document of each group of near copies (5-word Jaccard similarity 0.8): that of the smallest doc_id."""
+    return jaccard.deduplicate(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

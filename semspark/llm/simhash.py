@@ -109,6 +109,11 @@ def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text any one stays.
     """
     docs, tied = classes(documents, id_col, text_col, width, distance)
+    return keep_first(documents, docs, tied, id_col, text_col)
+
+
+def keep_first(documents: DataFrame, docs: DataFrame, tied: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of the least id of each root, given the rows (id, fp, hash) and the root of each fp."""
     each = docs.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "hash")).alias("x"))  # partial first
     first = each.join(tied.select("fp", "root"), "fp").groupBy("root").agg(F.min("x").alias("x"))
     kept = first.select(F.col("x.id").alias("kept"), F.col("x.hash").alias("kept_hash"))
