@@ -756,3 +756,37 @@ def streaming_pod_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i in range(0, 20, 5):
         state.update(wide.select("point", F.slice("u", i + 1, 5).alias("u")), "u")
     return spark.createDataFrame([(1, round(float((state.d**2).sum()), 5))], "n long, energy double")
+
+
+# The same operators over whole tables, where a query above reads a part
+
+
+@query(f"""WITH {NODES}, s AS (SELECT *, elem_id % 2 AS batch, 1.0 + label AS dt FROM nodes)
+SELECT batch, elem_id // 40 AS elem_id, CAST(k * 16 + j * 4 + i AS BIGINT) AS node, round(sum(u * dt) / sum(dt), 7) + 0.0 AS u FROM s GROUP BY ALL""")
+def average_files_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fields(spark, sf_dir).withColumns({"idx": F.col("elem_id"), "elem_id": F.floor(F.col("elem_id") / 40)})
+    index = f.select("idx", (F.col("idx") % 2).alias("batch"), (F.col("label") + 1.0).alias("dt"))
+    out = timeaverage.average_files(f.drop("label"), index, ["u"])
+    return out.select("batch", "elem_id", F.posexplode("u").alias("node", "v")).select("batch", "elem_id", F.col("node").cast("long").alias("node"), near("v", 7).alias("u"))
+
+
+@query(f"""WITH {_EVENTS} SELECT CAST(row_number() OVER w - 1 AS INTEGER) AS idx, 'out' || event_id AS fname, time, round(time - coalesce(lag(time) OVER w, 5.0), 3) AS time_interval, CAST(5 AS DOUBLE) AS start_time
+FROM e WINDOW w AS (ORDER BY time, event_id)""")
+def index_round_trip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One index of the events of all users."""
+    e = table(spark, sf_dir, "events").withColumn("time", seconds(F.col("ts")))
+    rows = timeaverage.intervals(e, "time", [], ["event_id"], 5.0).withColumn("fname", F.concat(F.lit("out"), F.col("event_id")))
+    path = folder(spark)
+    index.write_json(rows, path, 5.0)
+    return index.read_json(spark, path).select("idx", "fname", "time", F.round("time_interval", 3).alias("time_interval"), "start_time")
+
+
+@query("""SELECT vec_id % 20 AS probe_id, CAST(vec_id // 20 AS BIGINT) AS snapshot, CAST(vec_id // 20 AS DOUBLE) AS t, CAST(embedding[1] AS DOUBLE) AS u FROM embeddings""")
+def probe_series_round_trip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fields(spark, sf_dir)
+    points = e.where("elem_id < 20").select(F.col("elem_id").alias("probe_id"), *(F.col("u")[i].alias(a) for i, a in enumerate("xyz")))
+    s = F.floor(F.col("elem_id") / 20)
+    series = e.select((F.col("elem_id") % 20).alias("probe_id"), s.alias("snapshot"), s.cast("double").alias("t"), F.col("u")[0].alias("u"))
+    path = folder(spark)
+    probes.write_series(points, series, ["u"], path)
+    return probes.read_series(spark, path)[1]
