@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,15 +98,32 @@ language governing permissions and limitations under the License."""),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 ]
 
+#: Whole texts in files beside this module, by the name of their licence.
+TEXTS = Path(__file__).with_name("license_texts")
+#: Title lines of licences, as canonical text.
+_TITLES = "|".join([
+    "(the )?mit license( mit)?", "(the )?expat license", "(the )?isc license( isc)?", "(the )?zlib license( zlib)?",
+    "(the )?(bsd )?[23] clause bsd license", "(the )?bsd [23] clause license", "(the )?(simplified|new|modified|revised) bsd license",
+    "(the )?apache license( version 2 0( january 2004)?)?", "version 2 0 january 2004", "https www apache org licenses",
+    "gnu (lesser |library )?general public license( version [0-9 ]+)?", "version (2|2 1|3) ([0-9]+ )?(june|february) [0-9]{4}",
+    "mozilla public license( version)? 2 0", "creative commons legal code", "cc0 1 0 universal",
+])
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_NOTICE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+#: A notice starts so and has (c), 'by' or a year after it; a line of prose that starts with the word is text.
+_OWNED = r"(^|\n)[ \t]*(copyright[ \t]*:?[ \t]*(\(c\)|©|by[ \t]|\[yyyy\]|<year>|[^\n]*\b(19|20)[0-9]{2}\b)|\(c\)|©)[^\n]*"
 _NOT_WORD = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """KNOWN and the whole texts beside this module."""
+    return [*KNOWN, *((f.stem, f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt")))]
+
+
 def canonical_lines(text: Column) -> Column:
-    """A text with A-Z lowered, without copyright lines, words set apart by one blank, in the kept spellings; line ends stay."""
+    """A text with A-Z lowered, without copyright notices, words set apart by one blank, in the kept spellings; line ends stay."""
     out = F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower())
-    out = F.regexp_replace(out, _NOTICE, "$1")
+    out = F.regexp_replace(out, _OWNED, "$1")
     out = F.concat(F.lit(" "), F.regexp_replace(out, _NOT_WORD, " "), F.lit(" "))
     out = F.replace(out, F.lit("\n"), F.lit(" \n "))
     for old, new in SPELLINGS:
@@ -113,18 +131,25 @@ def canonical_lines(text: Column) -> Column:
     return out
 
 
+def untitled(lines: Column) -> Column:
+    """Lines without the licence titles among them, unless nothing else is there."""
+    kept = F.array_join(F.filter(F.split(lines, "\n"), lambda x: ~F.trim(F.regexp_replace(x, " +", " ")).rlike(f"^({_TITLES})$")), "\n")
+    return F.when(F.trim(F.replace(kept, F.lit("\n"), F.lit(" "))) == "", lines).otherwise(kept)
+
+
 def one_line(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, "[ \\n]+", " "))
 
 
-def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license, size) of known texts; of two licences with one digest the smaller name."""
-    t = spark.createDataFrame(list(known), "license string, text string").withColumn("canon", one_line(canonical_lines(F.col("text"))))
+    known = known_texts() if known is None else known
+    t = spark.createDataFrame(list(known), "license string, text string").withColumn("canon", one_line(untitled(canonical_lines(F.col("text")))))
     return t.where("canon <> ''").groupBy(F.sha2(F.col("canon"), 256).alias("digest")).agg(F.min("license").alias("license"), F.min(F.length("canon")).alias("size"))
 
 
 def scan(documents: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, digest of the entire canonical text, license that it is (else null), n_license_lines, line_licenses.
+    """Per row: id, digest of the entire canonical text, license that it is but for title lines (else null), n_license_lines, line_licenses.
 
     line_licenses are the distinct licences whose whole text is one line, ordered and comma-joined; a line's digest is
     looked up only if its length is a known one. Null and empty texts have the digest of no text and no licence; repeated
@@ -137,8 +162,8 @@ def scan(documents: DataFrame, known: DataFrame, id_col: str = "doc_id", text_co
     canon = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), canonical_lines(F.col(text_col).cast("string")).alias("c"))
     lines = F.transform(F.split("c", "\n"), lambda x: F.trim(x))
     digests = F.transform(F.filter(lines, lambda x: F.length(x).isin(sizes)), lambda x: F.sha2(x, 256))
-    docs = cut(canon.select("id", "key", F.sha2(one_line(F.col("c")), 256).alias("digest"), digests.alias("lines")))
-    entire = docs.join(small(known.select("digest", "license")), "digest", "left")
+    docs = cut(canon.select("id", "key", F.sha2(one_line(F.col("c")), 256).alias("digest"), F.sha2(one_line(untitled(F.col("c"))), 256).alias("text_digest"), digests.alias("lines")))
+    entire = docs.join(small(known.select(F.col("digest").alias("text_digest"), "license")), "text_digest", "left")
     hits = docs.where("size(lines) > 0").select("id", "key", F.explode(F.array_distinct("lines")).alias("digest"), "lines")
     hits = hits.join(small(known.select("digest", F.col("license").alias("line_license"))), "digest")
     times = F.size(F.filter("lines", lambda x: x == F.col("digest")))
