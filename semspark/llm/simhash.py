@@ -1,4 +1,4 @@
-"""SimHash near-duplicates, linked through multi-index hashing."""
+"""SimHash near-duplicates, linked through the fingerprints within one bit."""
 
 from __future__ import annotations
 
@@ -55,12 +55,14 @@ def _bit(i: Column) -> Column:
 def links(table: DataFrame, distance: int = 2) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (column fp) within ``distance`` (0, 1 or 2) differing bits.
 
-    The index holds, for each of the two 32-bit segments, the fingerprints whose bits in that segment lie within a ball
-    of radius 1 around the fingerprint, the other segment unchanged: BITS + 1 keys. Two fingerprints within 2 bits meet at
+    The keys of a fingerprint are itself and all that differ from it in one bit: BITS + 1 keys. There is no index by
+    segment, and a larger distance is an error. Two fingerprints within 2 bits meet at
     a key (themselves, or the one between them). A key has at most BITS + 1 fingerprints, whatever the size of a group of
     near copies, and comes to one row: a mask of the flipped bits. Each is tied to the least at its key, never all pairs,
     after verifying the complete distance. So rows grow in proportion to the distinct fingerprints.
     """
+    if distance not in (0, 1, 2):
+        raise ValueError(f"distance {distance}: only 0, 1 and 2 are supported")
     if distance == 0:
         return table.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
     half = BITS // SEGMENTS
