@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from semspark.functions import basis
+from semspark.operators import calculus
 from semspark.operators.elements import arrays, boxed, kernel, matrix
 
 NOISE = 1e-10
@@ -136,8 +137,13 @@ def sample(values: np.ndarray, cov: np.ndarray, count: int) -> np.ndarray:
 def gp_compress(df: DataFrame, field: str, bitrate: float, method: str = "dlt", keep: int = 8, group: str | None = None, dims: int = 3) -> DataFrame:
     """Append nodes, samples and spectrum: int(nodes * bitrate) sampled nodes of each element and the covariance's model.
 
-    With method average, elements of one ``group`` value within an Arrow batch share a model, whose spectrum is stored.
+    With method average, all elements of one ``group`` value share a model, whose spectrum is stored.
     """
+    if method == "average" and group:
+        spectra = calculus.to_modal(df.select(F.col(group).alias("_group"), field), field, "_c").select("_group", F.posexplode("_c").alias("_at", "_c"))
+        means = spectra.groupBy("_group", "_at").agg(F.avg("_c").alias("_c")).groupBy("_group")
+        means = means.agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_c"))), lambda x: x["_c"]).alias("_mean"))
+        df = df.join(means, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
     names = {"nodes": "array<int>", "samples": "array<double>", "spectrum": "array<double>"}
 
     def f(column: pa.Array, *more: pa.Array) -> list[pa.Array]:
@@ -145,11 +151,8 @@ def gp_compress(df: DataFrame, field: str, bitrate: float, method: str = "dlt",
         n = round(u.shape[1] ** (1 / dims))
         m = basis.to_modal(n)
         c = basis.along(boxed(u, dims), m, m, m if dims == 3 else None).reshape(len(u), -1)
-        groups = np.unique(np.array(more[0].to_pylist()), return_inverse=True)[1] if more else np.arange(len(u))
         if method == "average":
-            sums = np.zeros((groups.max() + 1, c.shape[1]))
-            np.add.at(sums, groups, c)
-            spectrum = (sums / np.bincount(groups)[:, None])[groups]
+            spectrum = matrix(more[0]) if more else c
         elif method == "dlt":
             spectrum = c.copy()
             np.put_along_axis(spectrum, np.argsort(-np.abs(c), axis=1, kind="stable")[:, keep:], 0.0, 1)
@@ -162,7 +165,8 @@ def gp_compress(df: DataFrame, field: str, bitrate: float, method: str = "dlt",
         nodes = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * size), pa.array(known.astype(np.int32).ravel()))
         return [nodes, arrays(got), arrays(spectrum)]
 
-    return _packed(df, [field, *([group] if group else [])], names, f)
+    shared = ["_mean"] if method == "average" and group else []
+    return _packed(df, [field, *shared], names, f).drop("_mean")
 
 
 def gp_restore(df: DataFrame, out: str, dims: int = 3, std: str | None = None) -> DataFrame:
