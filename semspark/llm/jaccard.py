@@ -1,26 +1,36 @@
-"""Near copies by exact Jaccard similarity of word shingles, found through an index of segments of the shingle sets."""
+"""Exact Jaccard similarity of word-shingle sets, for the near copies that a 64-bit SimHash can't tell.
+
+Two indexes lead to the candidates, and any two sets of the similarity meet in one of them. The first has the least hashes of
+each set (its prefix). Where more than CROWD sets share such a hash, which a common passage or a large group of
+near copies does, their sets are cut into segments by hash, of which similar sets have one in common, content and all;
+a passage alone makes no equal segment. There each set is compared with the least at the segment, and what that leaves
+apart in blocks by their sketches. Candidates are verified by counting common shingles.
+"""
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from semspark.llm import simhash
 from semspark.llm.components import components
+from semspark.llm.crowds import by_blocks
 from semspark.llm.scratch import cut, text_batches
-from semspark.llm.simhash import keep_first
-from semspark.llm.text import BLANKS, slices
+from semspark.llm.text import BLANKS, slices, tokenize
 
 SEED = 42
-#: Sets link from this similarity, a fraction.
-SIMILARITY = (4, 5)
 #: Bits of a sketch.
 SKETCH = 1024
+#: Keys with up to this many sets compare all of them.
+CROWD = 32
+#: Up to this many wanted sets travel to the texts; beyond, both are shuffled.
+BROADCAST_ROWS = 200_000
 #: Sizes at which a class of set sizes begins: each class reaches half as far again.
 STARTS = [1]
 while STARTS[-1] < 1 << 40:
@@ -34,24 +44,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """The distinct 64-bit hashes of a text's word shingles, ascending; one of all words if they are fewer than width."""
-    words = (text or "").encode().translate(BLANKS).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in words), np.uint64, len(words))
-    n = max(len(words) - width + 1, 1)
-    out = np.full(n, min(len(words), width), np.uint64)
-    for i in range(min(width, len(words))):
-        out = mix(out + hashes[i : i + n])
-    return np.unique(out)
+def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
+    """For each text the distinct 64-bit hashes of its word shingles, ascending; one of all words if they are fewer than width."""
+    tokens = tokenize(texts, BLANKS)
+    words = tokens.words.dictionary_encode()
+    each = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in words.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(words.dictionary))
+    hashes = each[words.indices.to_numpy()] if len(each) else each
+    rolled = np.full(max(len(hashes) - width + 1, 0), width, np.uint64)
+    for i in range(width):
+        rolled = mix(rolled + hashes[i : i + len(rolled)])
+    out = []
+    for a, b in zip(tokens.ends[:-1].tolist(), tokens.ends[1:].tolist(), strict=True):
+        if 0 < b - a < width:
+            one = np.full(1, b - a, np.uint64)
+            for h in hashes[a:b]:
+                one = mix(one + h)
+            out.append(one)
+        else:
+            out.append(np.unique(rolled[a : max(a, b - width + 1)]))
+    return out
 
 
 def set_hash(members: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(members.tobytes(), SEED) if len(members) else 0
 
 
-def segments(members: np.ndarray, similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
+def set_fingerprint(members: np.ndarray) -> int:
+    """64-bit SimHash of a set, 0 if it is empty."""
+    ones = np.zeros(simhash.BITS, np.int64)
+    for start in range(0, len(members), simhash.AT_ONCE):
+        part = members[start : start + simhash.AT_ONCE].astype(">u8").view(np.uint8)
+        ones += np.unpackbits(part).reshape(-1, simhash.BITS).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(members)).view(">u8")[0])
+
+
+def prefix(members: np.ndarray, similarity: tuple[int, int] = (4, 5)) -> np.ndarray:
+    """Keys of a set: its least hashes, as many as it can lack in a set of the similarity, and one more."""
+    n, (p, q) = len(members), similarity
+    return members[: n + (-n * p // q) + 1] if n else members
+
+
+def segments(members: np.ndarray, similarity: tuple[int, int] = (4, 5)) -> np.ndarray:
     """Keys of a set such that any two sets of at least the similarity p / q have one in common.
 
     If the smaller of two such sets has at most m members, they differ in at most d = m (q - p) / p. Members are dealt by
@@ -72,7 +105,7 @@ def segments(members: np.ndarray, similarity: tuple[int, int] = SIMILARITY) -> n
         sums = np.add.reduceat(mix(members), first)
         out.append(mix(sums + mix(place[first] + np.uint64(c << 40))))
         if len(first) <= d:
-            out.append(mix(members[: n + (-n * p // q) + 1] + mix(np.array([(c << 40) + (1 << 39)], np.uint64))))
+            out.append(mix(prefix(members, similarity) + mix(np.array([(c << 40) + (1 << 39)], np.uint64))))
     return np.unique(np.concatenate(out))
 
 
@@ -83,99 +116,149 @@ def sketch(members: np.ndarray) -> np.ndarray:
 
 
 def rows_of(documents: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, fp, hash, n, sketch) for each row: fp is a hash of the set of n shingles (0 without words), hash one of the text."""
+    """(id, fp, hash, n, sim, sketch) for each row: fp is a hash of the set of n shingles (0 without words), sim its SimHash."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            fps, sizes, sketches = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                members = shingles(text, width)
-                fps[i], sizes[i] = set_hash(members), len(members)
-                sketches.append(sketch(members))
-            lists = pa.array(sketches, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64)), batch.column("hash"), pa.array(sizes), lists], names=["id", "fp", "hash", "n", "sketch"])
+            sets = shingle_sets(batch.column("text"), width)
+            fps = pa.array(np.array([set_hash(x) for x in sets], np.uint64).view(np.int64))
+            sims = pa.array(np.array([set_fingerprint(x) for x in sets], np.uint64).view(np.int64))
+            lists = pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), fps, batch.column("hash"), pa.array([len(x) for x in sets], pa.int64()), sims, lists], names=["id", "fp", "hash", "n", "sim", "sketch"])
 
     text_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.select("id", F.xxhash64("text").alias("hash"), "text")
-    return docs.mapInArrow(work, f"id {docs.schema['id'].dataType.simpleString()}, fp long, hash long, n long, sketch array<long>")
+    return docs.mapInArrow(work, f"id {docs.schema['id'].dataType.simpleString()}, fp long, hash long, n long, sim long, sketch array<long>")
 
 
-def keys_of(documents: DataFrame, text_col: str, width: int, similarity: tuple[int, int]) -> DataFrame:
-    """(fp, key) for each key of each row; made from the texts again, since the keys take more room than the texts."""
+def few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast where it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def shared_keys(texts: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], width: int) -> DataFrame:
+    """(key, fp, n) for the keys that n different sets have, n at least 2, from the texts of a column ``text``.
+
+    Keys are counted first, with partial sums, so that the many that one text alone has go no further.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = [shingles(x, width) for x in batch.column("text").to_pylist()]
-            keys = [segments(x, similarity) for x in sets]
+            sets = shingle_sets(batch.column("text"), width)
+            keys = [keys_of(x) for x in sets]
             fps = np.repeat(np.array([set_hash(x) for x in sets], np.uint64), [len(x) for x in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.array(np.concatenate(keys).view(np.int64))], names=["fp", "key"])
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(fps.view(np.int64))], names=["key", "fp"])
 
-    return documents.select(F.col(text_col).cast("string").alias("text")).mapInArrow(work, "fp long, key long")
+    rows = cut(texts.select("text").mapInArrow(work, "key long, fp long"))
+    again = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    members = cut(rows.join(again, "key").distinct())
+    return cut(members.join(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
 
 
-def sets_of(documents: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(fp, members) of the wanted (fp, id, hash)."""
+def apart(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            members = pa.array([shingles(x, width).view(np.int64) for x in batch.column("text").to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), members], names=["fp", "members"])
 
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
-    rows = docs.alias("d").join(wanted.alias("w"), F.expr("d.id <=> w.id AND d.hash = w.hash")).select("w.fp", "d.text")
-    return rows.dropDuplicates(["fp"]).mapInArrow(work, "fp long, members array<long>")
+def all_pairs(members: DataFrame, differ: str | None = None) -> DataFrame:
+    """(a, b) of the (key, fp, root) at keys of at most CROWD sets; with ``differ`` only those of different roots."""
+    lists = members.groupBy("key").agg(F.collect_list(F.struct("fp", "root")).alias("m"))
+    first = lists.select("m", F.explode("m").alias("x"))
+    second = F.filter("m", lambda y: (y["fp"] > F.col("x.fp")) & (y["root"] != F.col("x.root")) if differ else y["fp"] > F.col("x.fp"))
+    return first.select(F.col("x.fp").alias("a"), F.explode(second).alias("y")).select("a", F.col("y.fp").alias("b"))
 
 
-def similar(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, id_col: str, text_col: str, width: int, similarity: tuple[int, int]) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have at least the similarity.
+def possible(na: Column, nb: Column, bits: Column, similarity: tuple[int, int]) -> Column:
+    """Whether sets of these sizes, whose sketches differ in so many bits, can have the similarity.
 
     Sets of that similarity differ in at most (q - p) / (q + p) of their members' total, and their sketches in no more
-    bits than the sets in members. What that leaves is counted exactly, from the texts.
+    bits than the sets in members.
     """
     p, q = similarity
+    return (na * p <= nb * q) & (nb * p <= na * q) & (bits * (p + q) <= (na + nb) * (q - p))
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have at least the similarity; nodes has (fp, x, n, sketch), texts (id, hash, text)."""
+    p, q = similarity
     sides = [nodes.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab"]
     bits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    maybe = pairs.join(sides[0], "a").join(sides[1], "b").where(F.expr(f"na * {p} <= nb * {q} AND nb * {p} <= na * {q}") & (bits * (p + q) <= (F.col("na") + F.col("nb")) * (q - p)))
+    maybe = pairs.join(sides[0], "a").join(sides[1], "b").where(possible(F.col("na"), F.col("nb"), bits, similarity))
     maybe = cut(maybe.select("a", "b"))
     ends = maybe.select(F.col("a").alias("fp")).unionByName(maybe.select(F.col("b").alias("fp"))).distinct()
-    sets = cut(sets_of(documents, nodes.join(ends, "fp").select("fp", "x.id", "x.hash"), id_col, text_col, width))
+    wanted = cut(nodes.join(ends, "fp").select("fp", F.col("x.id").alias("id"), F.col("x.hash").alias("hash")))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            members = pa.array([x.view(np.int64) for x in shingle_sets(batch.column("text"), width)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), members], names=["fp", "members"])
+
+    rows = texts.alias("d").join(few(wanted).alias("w"), F.expr("d.id <=> w.id AND d.hash = w.hash")).select("w.fp", "d.text")
+    sets = cut(rows.dropDuplicates(["fp"]).mapInArrow(work, "fp long, members array<long>"))
     left = sets.select(F.col("fp").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("fp").alias("b"), F.col("members").alias("y"))
     both = maybe.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("n"), (F.size("x") + F.size("y")).cast("long").alias("total"))
-    return both.where(F.col("n") * (p + q) >= F.col("total") * p).select("a", "b")
-
+    return cut(both.where(F.col("n") * (p + q) >= F.col("total") * p).select("a", "b"))
 
-def links(docs: DataFrame, documents: DataFrame, id_col: str, text_col: str, width: int, similarity: tuple[int, int]) -> DataFrame:
-    """Links (a, b) that connect all sets, named by fp, of at least the similarity.
 
-    Sets that share a key are first compared with the least at that key. Then all those at a key that are not yet
-    connected are compared with each other; so copies of one text come to rows in proportion to their keys, not to their pairs.
-    """
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def crowd_pairs(members: DataFrame, nodes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b) of the (key, fp, root) at a key whose roots differ and that sizes and sketches let pass, by blocks."""
+    p, q = similarity
+    rows = members.join(nodes.select("fp", F.col("n").alias("size"), "sketch"), "fp")
+
+    def compare(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+        sides = [(t.column("fp").to_numpy(), t.column("root").to_numpy(), t.column("size").to_numpy(), np.array(t.column("sketch").to_pylist(), np.int64).view(np.uint64).reshape(t.num_rows, SKETCH // 64)) for t in (left, right)]
+        (fa, ra, na, sa), (fb, rb, nb, sb) = sides
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for i in range(len(fa)):
+            ok = (rb != ra[i]) & (nb * p <= na[i] * q) & (na[i] * p <= nb * q)
+            if same:
+                ok[: i + 1] = False
+            at = np.flatnonzero(ok)
+            bits = np.bitwise_count(sb[at] ^ sa[i]).sum(1, dtype=np.int64)
+            at = at[bits * (p + q) <= (nb[at] + na[i]) * (q - p)]
+            out.append((np.full(len(at), fa[i]), fb[at]))
+        return pa.table({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])})
+
+    return by_blocks(rows, ["key"], "fp", compare, "a long, b long")
+
+
+def hinted(nodes: DataFrame, distance: int) -> DataFrame:
+    """Candidates (a, b) by the SimHash index: sets with one SimHash and with neighbouring ones, tied to the least of each."""
+    sims = cut(nodes.where("n > 0").groupBy("sim").agg(F.min("fp").alias("lead")))
+    same = nodes.where("n > 0").join(sims, "sim").select(F.col("fp").alias("a"), F.col("lead").alias("b"))
+    near = simhash.links(sims.select(F.col("sim").alias("fp")), distance)
+    lead = lambda c: sims.select(F.col("sim").alias(c), F.col("lead").alias(f"lead_{c}"))
+    return same.unionByName(near.join(lead("a"), "a").join(lead("b"), "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b")))
+
+
+def links(docs: DataFrame, documents: DataFrame, id_col: str, text_col: str, width: int, similarity: tuple[int, int], distance: int) -> DataFrame:
+    """Links (a, b) that connect all sets, named by fp, of at least the similarity. docs: what rows_of gives."""
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("x")
-    nodes = cut(docs.groupBy("fp").agg(first, F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")))
-    at = keys_of(documents, text_col, width, similarity).repartition(parts, "key")
-    shared = at.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("key", "a")
-    hits = cut(at.join(shared.hint("shuffle_hash"), "key").select("key", "a", F.col("fp").alias("b")).distinct())
-    near = cut(similar(hits.where("a <> b").select("a", "b").distinct(), nodes, documents, id_col, text_col, width, similarity))
+    nodes = cut(docs.groupBy("fp").agg(first, F.any_value("n").alias("n"), F.any_value("sim").alias("sim"), F.any_value("sketch").alias("sketch")))
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    keyed = shared_keys(texts, lambda x: prefix(x, similarity), width)
+    pairs = apart(hinted(nodes, distance).unionByName(all_pairs(keyed.where(F.col("n") <= CROWD).withColumn("root", F.col("fp")))))
+    crowd = cut(keyed.where(F.col("n") > CROWD).select("fp").distinct())
+    if not crowd.count():
+        return similar(pairs, nodes, texts, width, similarity)
+    wanted = cut(nodes.join(crowd, "fp").select(F.col("x.id").alias("i"), F.col("x.hash").alias("h")))
+    own = texts.join(few(wanted), F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")), "left_semi")
+    parted = shared_keys(own, lambda x: segments(x, similarity), width).drop("n")
+    least = parted.groupBy("key").agg(F.min("fp").alias("a"))
+    star = parted.join(least, "key").select("a", F.col("fp").alias("b"))
+    near = similar(apart(pairs.unionByName(star)), nodes, texts, width, similarity)
     known = components(near)
-    members = hits.select("key", F.col("b").alias("node")).join(known, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    apart = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    members = cut(members.join(apart, "key"))
-    pairs = members.alias("x").join(members.alias("y"), F.expr("x.key = y.key AND x.node < y.node AND x.root <> y.root"))
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return near.unionByName(similar(pairs, nodes, documents, id_col, text_col, width, similarity))
-
+    members = parted.join(known, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    open_ = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    members = cut(members.join(open_, "key"))
+    rest = all_pairs(members.where(F.col("n") <= CROWD), differ="root").unionByName(crowd_pairs(members.where(F.col("n") > CROWD).drop("n"), nodes, similarity))
+    return near.unionByName(similar(apart(rest), nodes, texts, width, similarity))
 
-def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """One row, with all columns, of each component of near copies: that of the least id (null ids last).
 
-    Rows link whose sets of word shingles have at least the Jaccard similarity p / q, both counted exactly; all texts
-    without words are copies of each other. Ties fall as in simhash.deduplicate.
-    """
+def classes(documents: DataFrame, id_col: str, text_col: str, width: int, similarity: tuple[int, int], distance: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, fp, hash, ...), and the root of the component of each distinct set (fp, root)."""
     docs = cut(rows_of(documents, id_col, text_col, width))
-    roots = components(links(docs, documents, id_col, text_col, width, similarity))
-    nodes = docs.select("fp").distinct()
-    tied = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return keep_first(documents, docs, tied, id_col, text_col)
+    roots = components(links(docs, documents, id_col, text_col, width, similarity, distance))
+    return docs, docs.select("fp").distinct().join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
