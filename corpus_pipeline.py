@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semspark.llm import decontaminate, jaccard, mixing, quality, toxicity
+from semspark.llm import decontaminate, mixing, quality, simhash, toxicity
 from semspark.llm.queries import read
 from semspark.llm.scratch import cut
 from semspark.llm.text import crc_fold
@@ -24,13 +24,13 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (5-word Jaccard similarity 0.8): that of the smallest doc_id."""
-    return jaccard.deduplicate(docs)
+    return simhash.deduplicate(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark items don't contaminate."""
+    """Documents without any passage of a benchmark item: one window of 13 words, however long the document, is enough."""
     judged = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"), carry=True)
-    return judged.where("NOT contaminated").select("row.*")
+    return judged.where("n_hit = 0").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
