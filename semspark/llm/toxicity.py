@@ -1,4 +1,9 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine through a block-max inverted index."""
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine through a block-max inverted index.
+
+Every word of the examples is a term. A term weighs (1 + ln tf) x idf x (FLOOR + what it tells about the labels): the phi
+coefficient between having the word and label 1, less the level that chance reaches. So words that don't tell the labels
+apart count too, but less than those that do, and no list of words is made.
+"""
 
 from __future__ import annotations
 
@@ -15,16 +20,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from semspark.llm.scratch import bounded_sample, cut, share, text_batches
 from semspark.llm.text import ALNUM, fields, slices, tokenize, with_text
 
-#: Bounds: labelled rows learned from (those of the least hash), terms, examples in a block, neighbours.
-EXAMPLES, TERMS, BLOCK, NEIGHBOURS = 20_000, 1024, 64, 40
-#: Examples that the calibration is fitted on, evenly spaced.
-CALIBRATED = 4000
-#: Blocks evaluated before the first comparison of bounds.
+#: Bounds: labelled rows learned from (those of the least hash) and the bytes of their texts, examples in a block, neighbours.
+EXAMPLES, EXAMPLE_BYTES, BLOCK, NEIGHBOURS = 8000, 64 << 20, 64, 40
+#: Blocks evaluated before the first comparison of bounds; each further round takes twice as many.
 FIRST = 8
-#: Lengths of the stems that are terms beside the words.
-PREFIXES = (4, 5, 6)
-#: Terms are kept from this chi-squared (p below 0.001) and this many documents on.
-CHI2, LEAST_DOCS = 10.83, 3
+#: Weight of words that tell nothing, and the squared phi times examples that chance reaches (chi-squared, p of 0.001).
+FLOOR, CHANCE = 0.01, 10.83
 #: Weight of the prior among the votes, and levels of the calibration.
 PRIOR, LEVELS = 1.0, 20
 
@@ -33,83 +34,104 @@ class Index(NamedTuple):
     """Examples in blocks; postings run by term, then by example."""
 
     terms: pa.StringArray
-    idf: np.ndarray
+    #: Weight of each term, and of a word that no example has.
+    scale: np.ndarray
+    unknown: float
     ids: list
     labels: np.ndarray
-    #: The postings of term t in block b are [ptr[t, b], ptr[t, b + 1]).
+    #: The postings of term t are [ptr[t], ptr[t + 1]) of examples and weights.
     ptr: np.ndarray
     examples: np.ndarray
     weights: np.ndarray
-    #: By block and term, the largest weight.
-    most: np.ndarray
-    #: Share of label 1 among examples without any term, and calibration (raw score, share).
+    #: Runs of a term's postings within one block: those of term t are [run_ptr[t], run_ptr[t + 1]) of the next three.
+    run_ptr: np.ndarray
+    run_block: np.ndarray
+    run_start: np.ndarray
+    run_most: np.ndarray
+    #: Share of label 1, the same among examples without words, and calibration (raw score, share).
     prior: float
     bare: float
     curve: tuple[np.ndarray, np.ndarray]
 
 
-def term_columns(words: pa.Array) -> list[pa.Array]:
-    """For each of some words its terms: itself, and its first 4, 5 and 6 characters (marked) where it has more.
-
-    Stems carry what inflected or disguised words have in common.
-    """
-    words = words.cast(pa.string())
-    sizes = pc.utf8_length(words)
-    out = [words]
-    for n in PREFIXES:
-        stem = pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, n), "*", "")
-        out.append(pc.if_else(pc.greater(sizes, n), stem, pa.scalar(None, pa.string())))
-    return out
-
-
-def term_pairs(texts: pa.Array, place) -> tuple[np.ndarray, np.ndarray, int]:
-    """(text, term) numbers of all terms in texts; place gives the numbers of an array of terms, -1 for none."""
+def term_counts(texts: pa.Array, place) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, times) for all words of texts, by text; place gives the numbers of an array of distinct words."""
     tokens = tokenize(texts, ALNUM)
     words = tokens.words.dictionary_encode()
     codes, owner = words.indices.to_numpy(), tokens.owners()
-    owners, terms = [], []
-    for column in term_columns(words.dictionary):
-        at = place(column)[codes] if len(codes) else np.zeros(0, np.int64)
-        some = at >= 0
-        owners.append(owner[some])
-        terms.append(at[some])
-    return np.concatenate(owners), np.concatenate(terms), len(tokens.ends) - 1
-
-
-def vectors(texts: pa.Array, terms: pa.StringArray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text its terms and unit TF-IDF weights, with (1 + ln tf) for tf."""
-    owner, term, n = term_pairs(texts, lambda c: pc.fill_null(pc.index_in(c, terms, skip_nulls=True), -1).to_numpy().astype(np.int64))
-    pair, tf = np.unique(owner * (len(terms) + 1) + term, return_counts=True)
-    owner, term = pair // (len(terms) + 1), pair % (len(terms) + 1)
-    w = (1 + np.log(tf)) * idf[term]
-    ends = np.searchsorted(owner, np.arange(n + 1))
-    for a, b in zip(ends[:-1], ends[1:], strict=True):
-        part = w[a:b]
-        yield term[a:b], part / np.sqrt(part @ part) if len(part) else part
+    size = max(len(words.dictionary), 1)
+    pair, times = np.unique(owner * size + codes, return_counts=True)
+    at = place(words.dictionary.cast(pa.string()))
+    return pair // size, at[pair % size] if len(pair) else pair, times
+
+
+def vectors(texts: pa.Array, terms: pa.StringArray, scale: np.ndarray, unknown: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text its known terms and their weights; words that no example has count in the unit length."""
+    owner, term, times = term_counts(texts, lambda c: pc.fill_null(pc.index_in(c, terms, skip_nulls=True), -1).to_numpy().astype(np.int64))
+    w = (1 + np.log(times)) * np.where(term >= 0, scale[term] if len(scale) else 0.0, unknown)
+    length = np.sqrt(np.bincount(owner, w * w, minlength=len(texts)))
+    known = term >= 0
+    owner, term, w = owner[known], term[known], w[known] / length[owner[known]]
+    ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield term[a:b], w[a:b]
+
+
+def _sums(x: Index, term: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The cosine with every example, through all postings of the terms."""
+    begins, ends = x.ptr[term].tolist(), x.ptr[term + 1].tolist()
+    runs = list(zip(begins, ends, strict=True))
+    own = np.concatenate([x.examples[a:b] for a, b in runs])
+    part = np.concatenate([x.weights[a:b] for a, b in runs])
+    return np.bincount(own, np.repeat(w, np.subtract(ends, begins)) * part, minlength=len(x.ids))
+
+
+def _spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of ranges, one after another."""
+    return np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
 def nearest(x: Index, term: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k examples of highest cosine above 0, ties to the earlier one.
 
-    The FIRST blocks by falling bound give a threshold; then all blocks whose bound reaches it are evaluated, no others.
+    A block's bound is the sum of its largest weights. Blocks are evaluated by falling bound in rounds, and the k-th best
+    so far is the threshold that the bounds of the next round's blocks have to reach. Where more than half of all blocks
+    still reach it, all postings are summed at once, which is cheaper than their selection.
     """
-    bounds = x.most[:, term] @ w
+    none = np.zeros(0, np.int64), np.zeros(0)
+    if not len(term):
+        return none
+    sizes = x.run_ptr[term + 1] - x.run_ptr[term]
+    runs = _spread(x.run_ptr[term], sizes)
+    block, run_w = x.run_block[runs], np.repeat(w, sizes)
+    blocks = -(-len(x.ids) // BLOCK)
+    bounds = np.bincount(block, run_w * x.run_most[runs], minlength=blocks) * (1 + 1e-9) + 1e-9
     order = np.argsort(-bounds, kind="stable")
-    order = order[bounds[order] > 0]
-    best, cos, done, step = np.zeros(0, np.int64), np.zeros(0), 0, FIRST
+    order = order[bounds[order] > 1e-9]
+    best, cos = none
+    done, step = 0, FIRST
     while done < len(order):
         if len(cos) >= k:
-            order = order[: int(np.searchsorted(-bounds[order], 1e-9 - cos[k - 1], "right"))]
-        some = order[done : done + step]
-        if not len(some):
-            break
-        lo, hi = x.ptr[term[:, None], some], x.ptr[term[:, None], some + 1]
-        n = (hi - lo).ravel()
-        at = np.repeat(lo.ravel() - np.cumsum(n) + n, n) + np.arange(int(n.sum()))  # postings of these terms in these blocks
-        hit, place = np.unique(x.examples[at], return_inverse=True)
-        sums = np.bincount(place, np.repeat(np.repeat(w, len(some)), n) * x.weights[at])
-        done, step = done + step, len(order)
-        best, cos = np.concatenate((best, hit)), np.concatenate((cos, np.round(sums, 9)))
+            order = order[: done + int(np.searchsorted(-bounds[order[done:]], 1e-9 - cos[k - 1], "right"))]
+            if done == len(order):
+                break
+        if done and len(order) - done > blocks // 2:
+            sums = np.round(_sums(x, term, w), 9)
+            hit = np.flatnonzero(sums > 0)
+            if len(hit) > 4 * k:
+                least = np.partition(sums[hit], len(hit) - k)[len(hit) - k]
+                hit = hit[sums[hit] >= least]
+            best, cos, done = hit, sums[hit], len(order)
+        else:
+            some = np.zeros(blocks, bool)
+            some[order[done : done + step]] = True
+            mine = np.flatnonzero(some[block])
+            n = x.run_start[runs[mine] + 1] - x.run_start[runs[mine]]
+            at = _spread(x.run_start[runs[mine]], n)
+            hit, place = np.unique(x.examples[at], return_inverse=True)
+            sums = np.round(np.bincount(place, np.repeat(run_w[mine], n) * x.weights[at]), 9)
+            best, cos = np.concatenate((best, hit[sums > 0])), np.concatenate((cos, sums[sums > 0]))
+            done, step = done + step, 2 * step
         top = np.lexsort((best, -cos))[:k]
         best, cos = best[top], cos[top]
     return best, cos
@@ -117,8 +139,6 @@ def nearest(x: Index, term: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarr
 
 def vote(x: Index, best: np.ndarray, cos: np.ndarray) -> float:
     """Votes weigh cosine^2 / (0.05 + distance), beside the prior's: neighbours that share little say little."""
-    if not len(best):
-        return x.bare
     cos = np.minimum(cos, 1)
     w = cos**2 / (1.05 - cos)
     return float((w @ x.labels[best] + PRIOR * x.prior) / (w.sum() + PRIOR))
@@ -129,7 +149,7 @@ def calibrated(x: Index, raw: float) -> float:
 
 
 def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Share of label 1 by raw score, over levels of it, made to rise by pooling; one half stays one half."""
+    """Share of label 1 by raw score, over levels of it, made to rise by pooling; it rises on between the pooled levels."""
     level = np.minimum((raw * LEVELS).astype(int), LEVELS - 1)
     blocks: list[list[float]] = []
     for i in range(LEVELS):
@@ -139,101 +159,112 @@ def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] > blocks[-1][0] / blocks[-1][1]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
-    share_ = [s / n for s, n, m in blocks for _ in range(int(m))]
-    return (np.arange(LEVELS) + 0.5) / LEVELS, np.array(share_)
-
-
-def build(terms: list[str], idf: np.ndarray, rows: list[tuple]) -> Index:
-    """rows: (id, label, terms, weights) of each example, ids ordered. Examples lie by their strongest term, so that
-    blocks differ in their bounds."""
-    bare = [r[1] for r in rows if not len(r[2])]
-    labels_all = np.array([r[1] for r in rows], float)
-    prior = float((labels_all.sum() + 0.5) / (len(rows) + 1)) if rows else 0.0
-    rows = sorted((r for r in rows if len(r[2])), key=lambda r: int(r[2][int(np.argmax(r[3]))]))
-    blocks = -(-len(rows) // BLOCK)
-    most, by_term = np.zeros((blocks, len(terms)), np.float32), [[] for _ in terms]
-    for e, (_, _, t, w) in enumerate(rows):
-        for j, v in zip(t, w, strict=True):
-            by_term[j].append((e, v))
-            most[e // BLOCK, j] = max(most[e // BLOCK, j], np.nextafter(np.float32(v), np.float32(2)))
-    ptr, examples, weights = np.zeros((len(terms), blocks + 1), np.int64), [], []
-    for j, posts in enumerate(by_term):
-        own = np.array([e for e, _ in posts], np.int64)
-        ptr[j] = len(examples) + np.searchsorted(own, np.arange(blocks + 1) * BLOCK)
-        examples += own.tolist()
-        weights += [v for _, v in posts]
-    x = Index(pa.array(terms, pa.string()), idf, [r[0] for r in rows], np.array([r[1] for r in rows], float), ptr, np.array(examples, np.int64), np.array(weights, float), most, prior, float((sum(bare) + prior) / (len(bare) + 1)), (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
-    raw, picked, memo = [], range(0, len(rows), max(1, -(-len(rows) // CALIBRATED))), {}
-    for e in picked:  # each by its neighbours other than itself; copies have the same ones
-        t, w = np.array(rows[e][2], np.int64), np.array(rows[e][3])
-        key = t.tobytes() + w.tobytes()
-        if key not in memo:
-            memo[key] = nearest(x, t, w, NEIGHBOURS + 1)
-        best, cos = memo[key]
-        keep = best != e
-        raw.append(vote(x, best[keep][:NEIGHBOURS], cos[keep][:NEIGHBOURS]))
-    return x._replace(curve=isotonic(np.array(raw), x.labels[list(picked)])) if rows else x
-
-
-def learn(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str, text_col: str, label_col: str) -> Index:
-    """Fit on at most EXAMPLES labelled documents where ``learns``; one with both labels counts as 1, and of several texts
-    of an id the least is learned from."""
-    spark = documents.sparkSession
+    share_ = np.array([s / n for s, n, _ in blocks])
+    ends = np.cumsum([0.0, *(m for *_, m in blocks)]) / LEVELS
+    return np.concatenate(([0.0], (ends[1:] + ends[:-1]) / 2, [1.0])), np.concatenate(([share_[0] / 2], share_, [(1 + share_[-1]) / 2]))
+
+
+def build(ids: list, labels: np.ndarray, texts: list[str]) -> Index:
+    """The index of examples, each text once. Examples lie by their heaviest term, so that blocks differ in their bounds."""
+    known: dict[str, int] = {}
+
+    def place(words: pa.Array) -> np.ndarray:
+        return np.array([known.setdefault(w, len(known)) for w in words.to_pylist()], np.int64)
+
+    parts, start = [], 0
+    for batch in slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])], "text"):
+        owner, term, times = term_counts(batch.column(0), place)
+        parts.append((owner + start, term, times))
+        start += batch.num_rows
+    owner, term, times = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
+    n, v, labels = len(ids), len(known), labels.astype(float)
+    df, toxic = np.bincount(term, minlength=v).astype(float), np.bincount(term, labels[owner] if n else None, minlength=v)
+    pos = float(labels.sum())
+    with np.errstate(divide="ignore", invalid="ignore"):
+        phi = np.abs(n * toxic - df * pos) / np.sqrt(df * (n - df) * pos * (n - pos))
+    phi = np.nan_to_num(phi, nan=0.0, posinf=0.0)
+    idf = lambda d: np.log((1 + n) / (1 + d)) + 1
+    scale = idf(df) * (FLOOR + np.maximum(phi - np.sqrt(CHANCE / max(n, 1)), 0))
+    w = (1 + np.log(times)) * scale[term]
+    w = w / np.sqrt(np.bincount(owner, w * w, minlength=n))[owner]
+    heavy = np.full(n, v)
+    by_weight = np.lexsort((w, owner))
+    heavy[owner[by_weight]] = term[by_weight]  # the last one written is the heaviest
+    order = np.lexsort((np.arange(n), heavy))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    owner = rank[owner]
+    at = np.lexsort((owner, term))
+    owner, term, w = owner[at], term[at], w[at]
+    first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (owner[1:] // BLOCK != owner[:-1] // BLOCK)))) if len(term) else np.zeros(0, np.int64)
+    with_words = heavy[order] < v
+    prior = float((pos + 0.5) / (n + 1)) if n else 0.0
+    bare = labels[order][~with_words]
+    return Index(
+        terms=pa.array(list(known), pa.string()), scale=scale, unknown=float(idf(0) * FLOOR), ids=[ids[i] for i in order], labels=labels[order],
+        ptr=np.searchsorted(term, np.arange(v + 1)), examples=owner.astype(np.int32), weights=w.astype(np.float32),
+        run_ptr=np.searchsorted(term[first], np.arange(v + 1)), run_block=(owner[first] // BLOCK).astype(np.int32), run_start=np.append(first, len(term)),
+        run_most=np.maximum.reduceat(w.astype(np.float32), first) if len(first) else np.zeros(0, np.float32),
+        prior=prior, bare=float((bare.sum() + prior) / (len(bare) + 1)), curve=(np.array([0.0, 1.0]), np.array([0.0, 1.0])),
+    )
+
+
+def examples_of(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(id, label, text): at most EXAMPLES labelled documents where ``learns``, of EXAMPLE_BYTES bytes, each text once.
+
+    One with both labels counts as 1, of several texts of an id the least is learned from, and copies of a text are one
+    example, with the least id and the greatest label.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
     some = known.groupBy("id").agg(F.max("label").alias("label"))
     some = bounded_sample(some.withColumnRenamed("id", id_col).where(learns).select(F.col(id_col).alias("id"), "label"), "id", EXAMPLES)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     joined = docs.join(F.broadcast(some), "id").select("id", "label", F.coalesce("text", F.lit("")).alias("text"))
-    sample = cut(joined.groupBy("id", "label").agg(F.min("text").alias("text")))  # one text for each id, however often it repeats
-    distinct = sample.groupBy(F.xxhash64("text").alias("h"), F.sha1("text").alias("s")).agg(F.max("label").alias("label"), F.first("text").alias("text"))
+    sample = cut(joined.groupBy("id", "label").agg(F.min("text").alias("text")).groupBy("text").agg(F.min("id").alias("id"), F.max("label").alias("label")))
+    sizes = sample.select("id", F.octet_length("text").alias("size")).orderBy(F.xxhash64("id"), "id").collect()  # EXAMPLES at most
+    total = np.cumsum([r["size"] for r in sizes])
+    if len(sizes) and total[-1] > EXAMPLE_BYTES:
+        sample = sample.where(F.col("id").isin([r["id"] for r in sizes[: int(np.searchsorted(total, EXAMPLE_BYTES, "right"))]]))
+    return sample.select("id", "label", "text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            known: dict[str, int] = {}
-
-            def place(column: pa.Array) -> np.ndarray:
-                return np.array([-1 if x is None else known.setdefault(x, len(known)) for x in column.to_pylist()], np.int64)
-
-            owner, term, _ = term_pairs(batch.column("text"), place)
-            size = max(len(known), 1)
-            pair = np.unique(owner * size + term)
-            toxic = batch.column("label").to_numpy()[pair // size]
-            n, pos = np.bincount(pair % size, minlength=size), np.bincount(pair % size, weights=toxic, minlength=size)
-            yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), pa.array(n[: len(known)].astype(np.int64)), pa.array(pos[: len(known)].astype(np.int64))], names=["term", "n", "pos"])
-
-    totals = distinct.agg(F.count("*"), F.sum("label")).first()
-    n, pos = totals[0], totals[1] or 0
-    df = distinct.select("label", "text").mapInArrow(count, "term string, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    a, b = F.col("pos").cast("double"), (F.col("n") - F.col("pos")).cast("double")
-    c, d = F.lit(float(pos)) - a, F.lit(float(n - pos)) - b
-    chi2 = F.when((F.col("n") < n) & F.lit(0 < pos < n), n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * float(max(pos, 1)) * float(max(n - pos, 1)))).otherwise(0.0)
-    top = df.where(F.col("n") >= LEAST_DOCS).withColumn("chi2", chi2).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS).collect()
-    terms, idf = [r["term"] for r in top], np.array([np.log((1 + n) / (1 + r["n"])) + 1 for r in top])
-    if not terms:
-        rows = [(r["id"], r["label"], (), ()) for r in sample.select("id", "label").collect()]
-        return build([], idf, rows)
-    vocabulary = share(spark, (pa.array(terms, pa.string()), idf))
-
-    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, idf = vocabulary()
+
+def learn(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str, text_col: str, label_col: str) -> Index:
+    """The index, calibrated on all examples: tasks score each by its neighbours other than itself."""
+    spark = documents.sparkSession
+    sample = examples_of(documents, labels, learns, id_col, text_col, label_col)
+    rows = sorted(sample.collect(), key=lambda r: r["id"])
+    x = build([r["id"] for r in rows], np.array([r["label"] for r in rows]), [r["text"] for r in rows])
+    if not rows:
+        return x
+    shared = share(spark, x)
+    place = {i: k for k, i in enumerate(x.ids)}
+
+    def leave_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = shared()
         for batch in slices(batches, "text"):
-            found = list(vectors(batch.column("text"), terms, idf))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([t.tolist() for t, _ in found], pa.list_(pa.int32())), pa.array([w.tolist() for _, w in found], pa.list_(pa.float64()))], names=["id", "label", "t", "w"])
+            raw = []
+            for e, (term, w) in zip(batch.column("e").to_pylist(), vectors(batch.column("text"), x.terms, x.scale, x.unknown), strict=True):
+                best, cos = nearest(x, term, w, NEIGHBOURS + 1)
+                keep = best != e
+                raw.append(vote(x, best[keep][:NEIGHBOURS], cos[keep][:NEIGHBOURS]) if len(term) else None)
+            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64()), batch.column("label")], names=["raw", "label"])
 
-    kind = sample.schema["id"].dataType.simpleString()
-    rows = sample.mapInArrow(embed, f"id {kind}, label int, t array<int>, w array<double>").orderBy("id").collect()  # EXAMPLES at most
-    return build(terms, idf, [(r["id"], r["label"], r["t"], r["w"]) for r in rows])
+    numbered = spark.createDataFrame([(r["id"], place[r["id"]]) for r in rows], f"id {sample.schema['id'].dataType.simpleString()}, e int")
+    parts = spark.sparkContext.defaultParallelism * 2
+    own = sample.join(F.broadcast(numbered), "id").select("e", "label", "text").repartition(parts, "e")
+    got = own.mapInArrow(leave_out, "raw double, label int").where("raw IS NOT NULL").collect()  # EXAMPLES at most
+    return x._replace(curve=isotonic(np.array([r["raw"] for r in got]), np.array([r["label"] for r in got], float)))
 
 
 def score(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", carry: bool = False, evidence: int = 3) -> DataFrame:
     """Per row: id (if carry, instead a struct ``row`` of all columns), held_out, score, predicted and evidence.
 
     ``learns`` is a condition on id_col that says whose labels may be learned. Words are letters, digits and all beyond
-    ASCII, A-Z lowered. Terms are the TERMS words and stems of highest chi-squared between the labels among the examples (exact
-    copies counted once), since words that don't tell the labels apart only blur the distances. A score is the vote of
-    the NEIGHBOURS nearest examples by cosine, calibrated on CALIBRATED of the examples at most, each left out in turn; a text
-    without any term (an empty or null one too) has the share of label 1 among such examples. Evidence lists the nearest
-    examples with id, cosine and label. Without labels every score is 0.
+    ASCII, A-Z lowered; all of them count. A score is the vote of the NEIGHBOURS nearest examples by cosine (ties to the
+    earlier example), calibrated on all examples, each by its neighbours other than itself; a text without any word (an
+    empty or null one too) has the share of label 1 among such examples. Evidence lists the nearest examples with id,
+    cosine and label. Without labels every score is 0. Repeated rows are scored each, an empty table gives none, a
+    very long text is worked on whole, and other columns, whatever their names, are never read.
     """
     text_batches(documents.sparkSession)
     index = share(documents.sparkSession, learn(documents, labels, learns, id_col, text_col, label_col))
@@ -244,17 +275,16 @@ def score(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str =
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = index()
-        memo: dict[bytes, tuple] = {}
+        memo: dict[int, tuple] = {}  # exact copies are searched once; a bounded number of texts is remembered
         for batch in slices(with_text(batches, text_col), "text"):
             scores, notes = [], []
-            for term, w in vectors(batch.column("text"), x.terms, x.idf) if len(x.terms) else [(np.zeros(0, int), np.zeros(0))] * batch.num_rows:
-                key = term.tobytes() + w.tobytes()
+            for term, w in vectors(batch.column("text"), x.terms, x.scale, x.unknown):
+                key = hash(term.tobytes() + w.tobytes())
                 if (got := memo.get(key)) is None:
-                    best, cos = nearest(x, term, w, NEIGHBOURS) if len(term) else (term, w)
-                    raw = vote(x, best, cos)
+                    best, cos = nearest(x, term, w, NEIGHBOURS)
                     note = [{"id": x.ids[e], "cosine": float(c), "label": int(x.labels[e])} for e, c in zip(best[:evidence], cos[:evidence], strict=True)]
-                    got = calibrated(x, raw) if len(best) else raw, note
-                    if len(memo) < 50_000:
+                    got = calibrated(x, vote(x, best, cos)) if len(best) else x.bare, note
+                    if len(memo) < 20_000:
                         memo[key] = got
                 scores.append(got[0])
                 notes.append(got[1])

@@ -127,29 +127,86 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(df, lab.where("false"), F.lit(True)).collect()} == {0.0}
 
 
-def test_block_max_search_is_exact():
+def plain_words(text):
+    return "".join(c if c.isalnum() and c.isascii() or ord(c) > 127 else " " for c in lower(text)).split(" ")
+
+
+def plain_scores(examples, texts):
+    """Scores of texts by dense vectors: (raw votes, calibrated), from (label, text) of distinct texts."""
+    counts = [Counter(w for w in plain_words(t) if w) for _, t in examples]
+    y, n = np.array([float(label) for label, _ in examples]), len(examples)
+    vocabulary = sorted({w for c in counts for w in c})
+    df = {w: sum(w in c for c in counts) for w in vocabulary}
+    scale = {}
+    for w in vocabulary:
+        a = sum(label for label, c in zip(y, counts, strict=True) if w in c)
+        b, c, d = df[w] - a, y.sum() - a, n - y.sum() - (df[w] - a)
+        under = (a + b) * (c + d) * (a + c) * (b + d)
+        phi = abs(a * d - b * c) / math.sqrt(under) if under else 0.0
+        scale[w] = (math.log((1 + n) / (1 + df[w])) + 1) * (toxicity.FLOOR + max(phi - math.sqrt(toxicity.CHANCE / n), 0))
+    unknown = (math.log(1 + n) + 1) * toxicity.FLOOR
+
+    def vector(c):
+        w = {x: (1 + math.log(m)) * scale.get(x, unknown) for x, m in c.items()}
+        size = math.sqrt(sum(v * v for v in w.values()))
+        return {x: v / size for x, v in w.items() if x in scale}
+
+    vectors = [vector(c) for c in counts]
+    prior = (y.sum() + 0.5) / (n + 1)
+
+    def raw(v, without=None):
+        cos = np.array([0.0 if i == without else round(sum(v[x] * u.get(x, 0.0) for x in v), 9) for i, u in enumerate(vectors)])
+        top = np.sort(cos)[::-1][: toxicity.NEIGHBOURS]
+        least = top[-1]
+        tied = (cos == least).sum() - (top == least).sum()
+        best = np.argsort(-cos, kind="stable")[: toxicity.NEIGHBOURS]
+        best = best[cos[best] > 0]
+        w = cos[best] ** 2 / (1.05 - np.minimum(cos[best], 1))
+        return (w @ y[best] + prior) / (w.sum() + 1), bool(tied)
+
+    bare = [label for label, c in zip(y, counts, strict=True) if not c]
+    own = [(raw(v, i)[0], y[i]) for i, v in enumerate(vectors) if counts[i]]
+    curve = toxicity.isotonic(np.array([r for r, _ in own]), np.array([label for _, label in own]))
+    out = []
+    for t in texts:
+        v = vector(Counter(w for w in plain_words(t) if w))
+        r, tied = raw(v) if v else (0.0, False)
+        out.append((float(np.interp(r, *curve)) if v else (sum(bare) + prior) / (len(bare) + 1), tied))
+    return out
+
+
+def test_toxicity_by_brute_force(spark):
+    rows, labels = corpus(150)
+    texts = [t for _, t in rows] + ["nothing known here", "idiot", "", "w1 w2 scum zzz", "w5"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, lab, crc_fold("doc_id", 5) != 0).collect()}
+    truth = {i: t for i, _, t in labels}
+    want = plain_scores([(truth[i], t) for i, t in rows if fold(i, 5) != 0], texts)
+    checked = 0
+    for i, (score, tied) in enumerate(want):
+        if not tied:
+            assert math.isclose(got[i], score, abs_tol=1e-5), (i, texts[i])
+            checked += 1
+    assert checked > 100 and len({round(x, 4) for x in got.values()}) > 5
+
+
+@pytest.mark.parametrize("terms", [60, 600])
+def test_block_max_search_is_exact(terms):
     g = np.random.default_rng(5)
-    terms = [f"t{i}" for i in range(50)]
-    rows = []
-    for i in range(500):
-        t = np.sort(g.choice(50, g.integers(1, 6), replace=False))
-        w = g.random(len(t)) + 0.1
-        rows.append((i, int(g.integers(2)), t.tolist(), (w / np.linalg.norm(w)).tolist()))
-    x = toxicity.build(terms, np.ones(50), rows)
-    dense = np.zeros((500, 50))
-    order = {i: k for k, i in enumerate(x.ids)}
-    for i, _, t, w in rows:
-        dense[order[i], t] = w
-    for _ in range(50):
-        t = np.sort(g.choice(50, 3, replace=False))
-        w = g.random(3)
-        w /= np.linalg.norm(w)
+    texts = [" ".join(f"t{int(j)}" for j in np.minimum(g.zipf(1.3, int(g.integers(1, 40))), terms)) for _ in range(700)]
+    texts[7] = ""
+    labels = np.array([int("t7 " in t) for t in texts])
+    x = toxicity.build(list(range(700)), labels, texts)
+    dense = np.zeros((700, len(x.terms)))
+    dense[x.examples, np.repeat(np.arange(len(x.terms)), np.diff(x.ptr))] = x.weights
+    queries = [*texts[:60], "t7", "t7 t9 t11 new", "t1 " * 9]
+    for t, w in toxicity.vectors(pa.array(queries, pa.string()), x.terms, x.scale, x.unknown):
         best, cos = toxicity.nearest(x, t, w, 10)
-        q = np.zeros(50)
-        q[t] = w
-        full = np.round(dense @ q, 9)
-        want = [k for k in np.lexsort((np.arange(500), -full)) if full[k] > 0][:10]
-        assert np.allclose(cos, full[want]) and set(best[cos > cos[-1]]) == set(np.array(want)[full[want] > full[want][-1]])
+        full = np.round(dense[:, t].astype(np.float64) @ w, 9)
+        want = np.lexsort((np.arange(700), -full))[:10]
+        want = want[full[want] > 0]
+        assert np.allclose(cos, full[want], atol=2e-9) and len(best) == len(want)
 
 
 def test_quality(spark):
