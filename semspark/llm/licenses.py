@@ -100,18 +100,22 @@ language governing permissions and limitations under the License."""),
 
 #: Whole texts in files beside this module, by the name of their licence.
 TEXTS = Path(__file__).with_name("license_texts")
-#: Title lines of licences, as canonical text.
+#: Title lines of licences, as bare words.
 _TITLES = "|".join([
     "(the )?mit license( mit)?", "(the )?expat license", "(the )?isc license( isc)?", "(the )?zlib license( zlib)?",
     "(the )?(bsd )?[23] clause bsd license", "(the )?bsd [23] clause license", "(the )?(simplified|new|modified|revised) bsd license",
     "(the )?apache license( version 2 0( january 2004)?)?", "version 2 0 january 2004", "https www apache org licenses",
     "gnu (lesser |library )?general public license( version [0-9 ]+)?", "version (2|2 1|3) ([0-9]+ )?(june|february) [0-9]{4}",
     "mozilla public license( version)? 2 0", "creative commons legal code", "cc0 1 0 universal",
-])
+]).replace("license", "licen[cs]e").replace("https ", "https? ")
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: A notice starts so and has (c), 'by' or a year after it; a line of prose that starts with the word is text.
-_OWNED = r"(^|\n)[ \t]*(copyright[ \t]*:?[ \t]*(\(c\)|©|by[ \t]|\[yyyy\]|<year>|[^\n]*\b(19|20)[0-9]{2}\b)|\(c\)|©)[^\n]*"
+#: A notice starts so and has (c), 'by' or a year after it; a line of prose that starts with the word is text, and so is a
+#: list's item (c), unless a year or no more than four words follow.
+_OWNED = r"(^|\n)[ \t]*(copyright[ \t]*:?[ \t]*(\(c\)|©|by[ \t]|\[yyyy\]|<year>|[^\n]*\b(19|20)[0-9]{2}\b)|\(c\)[^\n]*\b(19|20)[0-9]{2}\b|©)[^\n]*"
+_OWNED_SHORT = r"(^|\n)[ \t]*\(c\)([ \t]+[^ \t\n]+){0,4}[ \t]*(\n|$)"
+#: A canonical text without any of these words has nothing to respell.
+_SPELT = r"\b(" + "|".join(sorted({old.split()[0] for old, _ in SPELLINGS})) + r")\b"
 _NOT_WORD = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -120,15 +124,20 @@ def known_texts() -> list[tuple[str, str]]:
     return [*KNOWN, *((f.stem, f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt")))]
 
 
-def canonical_lines(text: Column) -> Column:
-    """A text with A-Z lowered, without copyright notices, words set apart by one blank, in the kept spellings; line ends stay."""
+def bare_lines(text: Column) -> Column:
+    """A text with A-Z lowered, without copyright notices, words set apart by blanks; line ends stay."""
     out = F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower())
-    out = F.regexp_replace(out, _OWNED, "$1")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, _NOT_WORD, " "), F.lit(" "))
-    out = F.replace(out, F.lit("\n"), F.lit(" \n "))
+    out = F.regexp_replace(F.regexp_replace(out, _OWNED, "$1"), _OWNED_SHORT, "$1")
+    return F.regexp_replace(out, _NOT_WORD, " ")
+
+
+def canonical(lines: Column) -> Column:
+    """Words of bare lines in the kept spellings, set apart by one blank. Line ends say nothing: 'per' and 'cent' may be on two lines."""
+    one = F.trim(F.regexp_replace(lines, "[ \\n]+", " "))
+    out = F.concat(F.lit(" "), F.replace(one, F.lit(" "), F.lit("  ")), F.lit(" "))  # each word has blanks of its own
     for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
-    return out
+        out = F.replace(out, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
+    return F.when(one.rlike(_SPELT), F.replace(F.trim(out), F.lit("  "), F.lit(" "))).otherwise(one)
 
 
 def untitled(lines: Column) -> Column:
@@ -137,14 +146,10 @@ def untitled(lines: Column) -> Column:
     return F.when(F.trim(F.replace(kept, F.lit("\n"), F.lit(" "))) == "", lines).otherwise(kept)
 
 
-def one_line(lines: Column) -> Column:
-    return F.trim(F.regexp_replace(lines, "[ \\n]+", " "))
-
-
 def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license, size) of known texts; of two licences with one digest the smaller name."""
     known = known_texts() if known is None else known
-    t = spark.createDataFrame(list(known), "license string, text string").withColumn("canon", one_line(untitled(canonical_lines(F.col("text")))))
+    t = spark.createDataFrame(list(known), "license string, text string").withColumn("canon", canonical(untitled(bare_lines(F.col("text")))))
     return t.where("canon <> ''").groupBy(F.sha2(F.col("canon"), 256).alias("digest")).agg(F.min("license").alias("license"), F.min(F.length("canon")).alias("size"))
 
 
@@ -153,16 +158,16 @@ def scan(documents: DataFrame, known: DataFrame, id_col: str = "doc_id", text_co
 
     line_licenses are the distinct licences whose whole text is one line, ordered and comma-joined; a line's digest is
     looked up only if its length is a known one. Null and empty texts have the digest of no text and no licence; repeated
-    rows come back each.
+    rows come back each, an empty table gives none, a very long text is one digest, other columns are never read.
     """
     known = cut(known)
     few = known.count() <= BROADCAST_ROWS
     small = (lambda x: F.broadcast(x)) if few else (lambda x: x)
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # lengths of licence texts
-    canon = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), canonical_lines(F.col(text_col).cast("string")).alias("c"))
-    lines = F.transform(F.split("c", "\n"), lambda x: F.trim(x))
-    digests = F.transform(F.filter(lines, lambda x: F.length(x).isin(sizes)), lambda x: F.sha2(x, 256))
-    docs = cut(canon.select("id", "key", F.sha2(one_line(F.col("c")), 256).alias("digest"), F.sha2(one_line(untitled(F.col("c"))), 256).alias("text_digest"), digests.alias("lines")))
+    canon = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), bare_lines(F.col(text_col).cast("string")).alias("c"))
+    near = F.filter(F.split("c", "\n"), lambda x: (F.length(x) >= (sizes[0] if sizes else 0) // 2) & F.lit(bool(sizes)))  # spellings don't halve a text
+    digests = F.transform(F.filter(F.transform(near, canonical), lambda x: F.length(x).isin(sizes)), lambda x: F.sha2(x, 256))
+    docs = cut(canon.select("id", "key", F.sha2(canonical(F.col("c")), 256).alias("digest"), F.sha2(canonical(untitled(F.col("c"))), 256).alias("text_digest"), digests.alias("lines")))
     entire = docs.join(small(known.select(F.col("digest").alias("text_digest"), "license")), "text_digest", "left")
     hits = docs.where("size(lines) > 0").select("id", "key", F.explode(F.array_distinct("lines")).alias("digest"), "lines")
     hits = hits.join(small(known.select("digest", F.col("license").alias("line_license"))), "digest")
@@ -172,22 +177,30 @@ def scan(documents: DataFrame, known: DataFrame, id_col: str = "doc_id", text_co
     return out.select(F.col("e.id").alias(id_col), "digest", "license", F.coalesce("n", F.lit(0)).cast("long").alias("n_license_lines"), F.coalesce("names", F.lit("")).alias("line_licenses"))
 
 
-def _sql_canon(text: str) -> str:
-    out = f"regexp_replace(translate(coalesce({text}, ''), '{_UPPER}', '{_UPPER.lower()}'), '(^|\\n)[ \\t]*(copyright|\\(c\\)|©)[^\\n]*', '\\1', 'g')"
-    out = f"replace(' ' || regexp_replace({out}, '{_NOT_WORD}', ' ', 'g') || ' ', chr(10), ' ' || chr(10) || ' ')"
+def _sql_bare(text: str) -> str:
+    out = f"regexp_replace(translate(coalesce({text}, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_OWNED}', '\\1', 'g')"
+    return f"regexp_replace(regexp_replace({out}, '{_OWNED_SHORT}', '\\1', 'g'), '{_NOT_WORD}', ' ', 'g')"
+
+
+def _sql_canonical(lines: str) -> str:
+    out = f"' ' || replace(trim(regexp_replace({lines}, '[ \\n]+', ' ', 'g')), ' ', '  ') || ' '"
     for old, new in SPELLINGS:
-        out = f"replace({out}, ' {old} ', ' {new} ')"
-    return out
+        out = "replace({}, ' {} ', ' {} ')".format(out, old.replace(" ", "  "), new.replace(" ", "  "))
+    return f"replace(trim({out}), '  ', ' ')"
+
+
+def _sql_untitled(lines: str) -> str:
+    kept = f"array_to_string(list_filter(string_split({lines}, chr(10)), lambda x: NOT regexp_full_match(trim(regexp_replace(x, ' +', ' ', 'g')), '{_TITLES}')), chr(10))"
+    return f"CASE WHEN trim(replace({kept}, chr(10), ' ')) = '' THEN {lines} ELSE {kept} END"
 
 
 def oracle(table: str = "documents") -> str:
-    values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN)
-    one = "trim(regexp_replace(c, '[ \\n]+', ' ', 'g'))"
+    values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in known_texts())
     return f"""WITH known AS (SELECT sha256(x) AS digest, min(license) AS license FROM
-  (SELECT license, {one} AS x FROM (SELECT license, {_sql_canon('text')} AS c FROM (VALUES {values}) v(license, text))) GROUP BY 1),
-docs AS (SELECT doc_id, sha256({one}) AS digest, list_transform(string_split(c, chr(10)), lambda x: sha256(trim(x))) AS lines
-  FROM (SELECT doc_id, {_sql_canon('text')} AS c FROM {table})),
+  (SELECT license, {_sql_canonical('u')} AS x FROM (SELECT license, {_sql_untitled('c')} AS u FROM (SELECT license, {_sql_bare('text')} AS c FROM (VALUES {values}) v(license, text)))) WHERE x <> '' GROUP BY 1),
+docs AS (SELECT doc_id, sha256({_sql_canonical('c')}) AS digest, sha256({_sql_canonical('u')}) AS text_digest, list_transform(string_split(c, chr(10)), lambda x: sha256({_sql_canonical('x')})) AS lines
+  FROM (SELECT doc_id, c, {_sql_untitled('c')} AS u FROM (SELECT doc_id, {_sql_bare('text')} AS c FROM {table}))),
 found AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS names
   FROM (SELECT doc_id, unnest(lines) AS digest FROM docs) l JOIN known k USING (digest) GROUP BY 1)
 SELECT d.doc_id, d.digest, k.license, coalesce(f.n, 0) AS n_license_lines, coalesce(f.names, '') AS line_licenses
-FROM docs d LEFT JOIN known k USING (digest) LEFT JOIN found f ON d.doc_id = f.doc_id"""
+FROM docs d LEFT JOIN known k ON d.text_digest = k.digest LEFT JOIN found f ON d.doc_id = f.doc_id"""
