@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import tempfile
 import uuid
 from collections.abc import Callable
 from typing import Any
+from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +39,12 @@ def text_batches(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, removed when the session's file systems close.
 
-    Only where no checkpoint folder is set (tests, a single machine) a temporary one becomes it.
+    Only where no checkpoint folder is set, on a single machine, a temporary one becomes it; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that they share")
         base = f"file://{tempfile.mkdtemp(prefix='semspark-')}"
         spark.sparkContext.setCheckpointDir(base)
     folder = f"{base.rstrip('/')}/semspark-{uuid.uuid4().hex}"
@@ -47,6 +53,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Schemes of paths that tasks open through pyarrow, and the name that it has for each.
+OPENED = {"": "file", "file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def opened(path: str) -> pa.NativeFile:
+    """A stream of a file in a shared folder, read piece by piece wherever the caller runs."""
+    scheme, colon, rest = path.partition(":")
+    uri = f"{OPENED[scheme]}:{rest}" if colon else f"file://{path}"
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = f"file://{uri[5:]}"
+    if uri.startswith("file://"):
+        return pa.OSFile(unquote(uri[7:]))
+    fs, name = pa.fs.FileSystem.from_uri(uri)
+    return fs.open_input_file(name)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lost executors cost no recomputation past here."""
     spark = df.sparkSession
@@ -55,6 +77,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files that nothing refers to any more: it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     """At most ``most`` rows of df, those of the least hash of their key; all, if there are no more.
 

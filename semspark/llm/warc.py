@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semspark.llm.scratch import cut, shared_folder
+from semspark.llm.scratch import OPENED, cut, opened, shared_folder
 
 SEGMENT, CHUNK = 1 << 20, 1 << 18
 #: Tables of revisits with at most so many rows are broadcast; larger ones are joined by shuffling.
@@ -38,19 +38,24 @@ def _crlf(*lines: Column) -> Column:
 
 
 def _urn(i: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(i.cast("string"), F.lit("")), F.lit(">"))
+    return F.concat(F.lit("<urn:page"), F.coalesce(F.concat(F.lit(":"), i.cast("string")), F.lit("")), F.lit(">"))
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", segment: int = SEGMENT) -> None:
     """Write a record per row to gzip WARC files below folder, one for each partition.
 
     Of rows with equal payloads of at least REVISIT_FROM bytes, those with the largest id are responses and the others
-    revisit it. A null payload is empty, a null id the smallest, a null url empty; repeated rows are written each.
+    revisit it. A null payload is empty, a null id the smallest, a null url empty; repeated rows are written each. An empty
+    table gives an archive without records; other columns, whatever their names, are not read.
     """
     p = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     same = cut(revisits(p))
-    same = F.broadcast(same) if same.count() <= BROADCAST_ROWS else same
-    p = p.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")}).join(same, ["digest", "size"], "left")
+    p = p.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
+    if same.count() <= BROADCAST_ROWS:
+        p = p.join(F.broadcast(same), ["digest", "size"], "left")
+    else:  # digests meet without payloads first; these then move by id, since one payload may be that of many rows
+        pairs = cut(p.select("id", "digest", "size").distinct().join(same, ["digest", "size"]))
+        p = p.alias("p").join(pairs.alias("q"), F.expr("p.id <=> q.id AND p.digest = q.digest AND p.size = q.size"), "left").select("p.*", "q.response")
     again = F.col("response").isNotNull() & ~F.col("id").eqNullSafe(F.col("response"))
     p = p.withColumns({"again": again, "chunks": F.when(again, 1).otherwise(F.greatest(F.ceil(F.col("size") / segment), F.lit(1))).cast("int")})
     p = p.withColumn("chunk", F.explode(F.sequence(F.lit(1), F.col("chunks"))))
@@ -70,7 +75,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         _crlf(
             F.lit("WARC/1.1"),
             F.concat(F.lit("WARC-Type: "), F.when(F.col("again"), "revisit").when(first, "response").otherwise("continuation")),
-            F.concat(F.lit("WARC-Record-ID: "), F.when(first, urn).otherwise(F.concat(F.rtrim(urn, F.lit(">")), F.lit(":"), F.col("chunk").cast("string"), F.lit(">")))),
+            F.concat(F.lit("WARC-Record-ID: "), F.when(first, urn).otherwise(F.concat(F.rtrim(urn, F.lit(">")), F.lit("#"), F.col("chunk").cast("string"), F.lit(">")))),
             F.lit("WARC-Date: 1970-01-01T00:00:00Z"),
             F.concat(F.lit("WARC-Target-URI: "), url),
             F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
@@ -137,25 +142,32 @@ def records(stream: io.BufferedIOBase, chunk: int = CHUNK, data: bool = True) ->
 
 
 def read(spark: SparkSession, folder: str, data: bool = True) -> DataFrame:
-    """The chunked record table of all archives (.warc or .gz) in a folder. A row's sha1 covers its payload so far."""
+    """The chunked record table of all archives (.warc or .gz) in a folder. A row's sha1 covers its payload so far.
+
+    Tasks get paths and stream the archives from the folder, a chunk at a time, however large archives and records are.
+    """
+
+    scheme = spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getScheme() or ""
+    streamed = scheme in OPENED  # elsewhere Spark has to read each archive whole, which its binaryFile allows up to 2 GiB
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                raw = io.BytesIO(content.as_buffer())
-                zipped = raw.getbuffer()[:2] == b"\x1f\x8b"
-                rows, held = [], 0
-                for row in records(io.BufferedReader(gzip.GzipFile(fileobj=raw), CHUNK) if zipped else raw, data=data):
-                    rows.append(row)
-                    held += row["size"] * data + 500
-                    if held > 16 * CHUNK:
+            for archive in batch.column(0):
+                with opened(archive.as_py()) if streamed else pa.BufferReader(archive.as_buffer()) as raw:
+                    zipped = raw.read(2) == b"\x1f\x8b"
+                    raw.seek(0)
+                    rows, held = [], 0
+                    for row in records(io.BufferedReader(gzip.GzipFile(fileobj=raw), CHUNK) if zipped else io.BufferedReader(raw, CHUNK), data=data):
+                        rows.append(row)
+                        held += row["size"] * data + 500
+                        if held > 16 * CHUNK:
+                            yield pa.RecordBatch.from_pylist(rows, FIELDS)
+                            rows, held = [], 0
+                    if rows:
                         yield pa.RecordBatch.from_pylist(rows, FIELDS)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, FIELDS)
 
     kinds = "record_id string, type string, url string, refers_to string, declared_digest string, declared_size long, chunk int, offset long, size int, sha1 string, last boolean, data binary"
-    return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(walk, kinds)
+    return spark.read.format("binaryFile").load(folder).select("path" if streamed else "content").mapInArrow(walk, kinds)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -163,7 +175,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     folder = shared_folder(pages.sparkSession)
     write(pages, folder, id_col, url_col, payload_col)
     r = read(pages.sparkSession, folder, data=False).where("last")
-    page = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1).try_cast(pages.schema[id_col].dataType)
+    page = lambda c: F.when(c.startswith("<urn:page:"), F.regexp_extract(c, "^<urn:page:(.*)>$", 1)).try_cast(pages.schema[id_col].dataType)
     again = F.col("type") == "revisit"
     return r.select(
         page(F.col("record_id")).alias(id_col),
