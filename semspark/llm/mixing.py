@@ -28,7 +28,7 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float = 1.5,
     active = [i for i, w in enumerate(weights) if w > 0]
     while active:
         total = sum(weights[i] for i in active)
-        full = [i for i in active if left * weights[i] / total > most * sizes[i]]
+        full = {i for i in active if left * weights[i] / total > most * sizes[i]}
         if not full:
             for i in active:
                 out[i] = left * weights[i] / total
@@ -36,7 +36,7 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float = 1.5,
         for i in full:
             out[i] = most * sizes[i]
         left -= sum(out[i] for i in full)
-        active = [i for i in active if i not in set(full)]
+        active = [i for i in active if i not in full]
     return out
 
 
@@ -88,6 +88,38 @@ def landing(size: np.ndarray, p: np.ndarray) -> np.ndarray:
     return p
 
 
+def exchange(size: np.ndarray, p: np.ndarray, x: np.ndarray, words: float, most: int = 64) -> np.ndarray:
+    """Bring the words of the choice x (0 or 1 where p lies between) near a total: rows in and out, one for one.
+
+    Each step makes the one exchange, or else the one addition or removal, that leaves the least error, as long as there
+    is one that lessens it. Rows that aren't up to chance stay.
+    """
+    x, free = x.copy(), (p > EPS) & (p < 1 - EPS)
+    for _ in range(most):
+        error = words - float(size @ x)
+        inside, outside = np.flatnonzero(free & (x > 0.5)), np.flatnonzero(free & (x < 0.5))
+        outside = outside[np.argsort(size[outside], kind="stable")]
+        found = [(abs(error), -1, -1)]
+        if len(outside):
+            leave = np.concatenate((inside, [-1]))
+            want = error + np.where(leave >= 0, size[leave], 0.0)
+            right = np.searchsorted(size[outside], want)
+            for at in (np.minimum(right, len(outside) - 1), np.maximum(right - 1, 0)):
+                miss = np.abs(want - size[outside[at]])
+                k = int(np.argmin(miss))
+                found.append((float(miss[k]), int(leave[k]), int(outside[at[k]])))
+        if len(inside):
+            miss = np.abs(error + size[inside])
+            k = int(np.argmin(miss))
+            found.append((float(miss[k]), int(inside[k]), -1))
+        best, out, into = min(found)
+        if best >= abs(error) - 1e-6 or out == into == -1:
+            break
+        x[[i for i in (out,) if i >= 0]] = 0.0
+        x[[i for i in (into,) if i >= 0]] = 1.0
+    return x
+
+
 def mix(documents: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How often the mix takes each document: id, source, size, source_size, target, copies, taken (words).
 
@@ -97,7 +129,9 @@ def mix(documents: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
     without words have target 0. Repeated rows are sampled each. Choices come from hashes of ids and texts: reruns agree.
 
     The flight runs in blocks of about BLOCK rows per source, whatever a source's size; its undecided rows (two for each
-    block at most) go through the next level's blocks, until one block is left for each source, which is landed.
+    block at most) go through the next level's blocks, until one block is left for each source, which is landed; exchanges
+    within that block then make up for what the last rounding missed. An empty table gives no rows, a very long text is
+    counted whole, and other columns, whatever their names, are not read.
     """
     spark = documents.sparkSession
     text_batches(spark)
@@ -125,8 +159,9 @@ def mix(documents: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
             group = group.sort_values(["size", "key"], ascending=[False, True], kind="stable").reset_index(drop=True)
             seed = [level, int(group["rank"].iloc[0]), int(group["block"].iloc[0])]
             size = group["size"].to_numpy(np.float64)
-            x = flight(size, group["x"].to_numpy(), np.random.default_rng(seed))
-            group["x"] = landing(size, x) if last else x
+            p = group["x"].to_numpy()
+            x = flight(size, p, np.random.default_rng(seed))
+            group["x"] = exchange(size, p, landing(size, x), float(size @ p)) if last else x
             return group
 
         return run
