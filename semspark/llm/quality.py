@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semspark.llm.scratch import cut, share, text_batches
-from semspark.llm.text import BLANKS_KEEP_CASE, fields, slices, with_text
+from semspark.llm.text import BLANKS_KEEP_CASE, fields, slices
 
 #: Share of the pooled diagonal in each class's covariance, and what is added to the variances of unit scale.
 SHRINKAGE, RIDGE = 0.1, 0.3
@@ -100,11 +100,11 @@ def fit(moments: dict[int, tuple[int, np.ndarray, np.ndarray]]) -> Discriminant
     return Discriminant(centre, scale, np.array(mid), np.array(whiten), np.array(constants))
 
 
-def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(row, x) from rows (row, text), or with the text within row."""
+def features(docs: DataFrame) -> DataFrame:
+    """(row, x) from rows (row, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(with_text(batches, text_col), "text"):
+        for batch in slices(batches, "text"):
             x = pa.array([statistics(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("row"), x], names=["row", "x"])
 
@@ -131,13 +131,19 @@ def score(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str =
 
     ``learns`` is a condition on id_col that says whose labels may be learned; all of them count, through sums by label.
     A document with both labels counts as 1; null ids and labels teach nothing. Empty and null texts have the statistics of
-    no words. With one label only every score is that label's, without any 0.5.
+    no words. With one label only every score is that label's, without any 0.5. Repeated rows are scored each, an empty
+    table gives none; a very long text is measured whole, its words held as one list; other columns are never read.
     """
     text_batches(documents.sparkSession)
-    docs = documents.select(F.struct(F.col(id_col).alias("id"), F.coalesce(learns, F.lit(False)).alias("learn")).alias("row"), F.col(text_col).cast("string").alias("text"))
-    table = cut(features(docs).select("row.*", "x"))
+    learn = F.coalesce(learns, F.lit(False)).alias("learn")
+    if carry:
+        whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+        docs = documents.select(F.struct(whole.alias("whole"), F.col(id_col).alias("id"), learn).alias("row"), F.col(text_col).cast("string").alias("text"))
+    else:
+        docs = documents.select(F.struct(F.col(id_col).alias("id"), learn).alias("row"), F.col(text_col).cast("string").alias("text"))
+    table = cut(features(docs).select("row.*", "x"))  # the statistics are made once, for fitting and for scoring
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
-    model = share(documents.sparkSession, fit(moments(table.where("learn").join(known, "id"))))
+    model = share(documents.sparkSession, fit(moments(table.where("learn").select("id", "x").join(known, "id"))))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model()
@@ -146,10 +152,8 @@ def score(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str =
             p = np.full(len(x), m) if isinstance(m, float) else m.scores(x)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["row", "score", "predicted"])
 
+    table = table.select(F.col("whole").alias("row") if carry else F.struct("id", "learn").alias("row"), "x")
+    out = table.mapInArrow(rate, fields("score double, predicted int", row=table.schema["row"].dataType))
     if carry:
-        own = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
-        out = features(own, text_col).mapInArrow(rate, fields("score double, predicted int", row=own.schema["row"].dataType))
         return out.select("row", "score", "predicted")
-    table = table.select(F.struct("id", "learn").alias("row"), "x")
-    out = table.mapInArrow(rate, fields("score double, predicted int", row=table.schema["row"].dataType))
     return out.select(F.col("row.id").alias(id_col), (~F.col("row.learn")).alias("held_out"), "score", "predicted")
