@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semspark.llm.scratch import share
+from semspark.llm.scratch import cut, opened
 
-#: Queries broadcast at once, candidates in a vertical block, dimensions accumulated between two compactions.
-QUERIES, CANDIDATES, DIMENSIONS = 2048, 4096, 16
+#: Queries and candidates that a task holds at once, candidates in a vertical block, dimensions between two compactions.
+QUERIES, ROWS, CANDIDATES, DIMENSIONS = 2048, 1 << 16, 4096, 16
 SCALE = 256
 
 
@@ -58,6 +59,11 @@ class Search:
         starts = range(0, rows.shape[1], DIMENSIONS)
         return np.stack([np.sqrt((rows[:, d:].astype(np.float64) ** 2).sum(1)) * (1 + 1e-12) + 1e-9 for d in starts])
 
+    def found(self) -> pa.RecordBatch:
+        n = [len(ids) for ids, _ in self.best]
+        columns = [np.repeat(self.ids, n), np.concatenate([i for i, _ in self.best]), np.concatenate([x for _, x in self.best])]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["query_id", "id", "score"])
+
     def feed(self, ids: np.ndarray, rows: np.ndarray) -> None:
         for at in range(0, len(ids), CANDIDATES):
             part = rows[at : at + CANDIDATES][:, self.order]
@@ -102,44 +108,45 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
 
     Components become floor(256 x). Candidates are all rows but those of the query's own id, of the query's length. Vectors
     null, empty, or holding null or non-finite components take no part, nor do null ids. Repeated candidates count each,
-    repeated queries once (the greatest vector). Products must fit 64 bits.
+    repeated queries once (the greatest vector). Products must fit 64 bits. An empty table gives no rows; other columns,
+    whatever their names, are not read.
 
-    Candidates stay where they are, in vertical blocks; queries travel to them in blocks of about QUERIES, a pass for each.
-    A task sends on k rows for each query. Within it, inner products accumulate DIMENSIONS at a time; a candidate is
-    dropped once its sum and the product of the remaining lengths fall below the k-th best so far.
+    Queries are written to the shared folder and never pass the driver. Candidates stay where they are: a task makes a
+    vertical block of up to ROWS of them, streams the queries past it, QUERIES at a time, and sends on k rows for each
+    query and block. Inner products accumulate DIMENSIONS at a time; a candidate is dropped once its sum and the product of
+    the remaining lengths fall below the k-th best so far. The work is queries times candidates less what the bounds drop.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    queries = vectors.where(is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    blocks = max(1, -(-queries.count() // QUERIES))
-    parts = [_pass(rows, queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), k) for b in range(blocks)]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    queries = vectors.where(is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    queries = queries.where(F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", finite))
+    files = sorted(cut(queries.groupBy("id").agg(F.max("v").alias("v")).where("v IS NOT NULL")).inputFiles())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for size, ids, candidates in chunks(batches):
+            for file in files:
+                with opened(file) as source:
+                    for batch in pq.ParquetFile(source).iter_batches(QUERIES):
+                        for own, m in matrices(batch.column(0), batch.column(1)):
+                            if m.shape[1] == size:
+                                search = Search(own, m, k)
+                                search.feed(ids, candidates)
+                                yield search.found()
+
+    found = rows.mapInArrow(work, "query_id long, id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
-def _pass(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    table = queries.toArrow().combine_chunks()  # about QUERIES rows
-    own: dict[int, dict[int, tuple]] = {}
-    for batch in table.to_batches():
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, rows of integers) of the valid vectors, up to about ROWS of a length at a time."""
+    held: dict[int, list] = {}
+    for batch in batches:
         for ids, m in matrices(batch.column("id"), batch.column("v")):
-            for i, row in zip(ids.tolist(), m, strict=True):
-                mine = own.setdefault(m.shape[1], {})
-                if i not in mine or tuple(row) > tuple(mine[i]):
-                    mine[i] = row
-    plain = {n: (np.array(sorted(x), np.int64), np.stack([x[i] for i in sorted(x)])) for n, x in own.items()}
-    shared = share(rows.sparkSession, plain)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searches = {n: Search(ids, m, k) for n, (ids, m) in shared().items()}
-        for batch in batches:
-            for ids, m in matrices(batch.column("id"), batch.column("v")):
-                if m.shape[1] in searches:
-                    searches[m.shape[1]].feed(ids, m)
-        for s in searches.values():
-            n = [len(ids) for ids, _ in s.best]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(s.ids, n)), pa.array(np.concatenate([i for i, _ in s.best])), pa.array(np.concatenate([x for _, x in s.best]))], names=["query_id", "id", "score"])
-
-    return rows.mapInArrow(work, "query_id long, id long, score long")
+            held.setdefault(m.shape[1], []).append((ids, m))
+            if sum(len(x) for x, _ in held[m.shape[1]]) >= ROWS:
+                some = held.pop(m.shape[1])
+                yield m.shape[1], np.concatenate([x for x, _ in some]), np.concatenate([y for _, y in some])
+    for size, some in held.items():
+        yield size, np.concatenate([x for x, _ in some]), np.concatenate([y for _, y in some])

@@ -133,6 +133,7 @@ def test_contamination(spark, monkeypatch, words):
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERIES", 4)
     monkeypatch.setattr(topk, "CANDIDATES", 64)
+    monkeypatch.setattr(topk, "ROWS", 100)
     g = np.random.default_rng(6)
     rows = [(i, g.normal(0, 0.2, 40).astype(np.float32).tolist()) for i in range(600)]
     rows[5] = (5, rows[100][1])
