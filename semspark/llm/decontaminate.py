@@ -5,23 +5,23 @@ whole window has to occur, one prefix shingle, the rarest, is enough to find eve
 gives where the window must start, which has to lie within the document (length and positional bounds), and the
 window's words are then compared exactly.
 
-Items travel to the documents: in blocks of at most ITEM_WORDS words, one pass over the documents for each block.
+Items travel to the documents in blocks of about ITEM_WORDS words. There are two passes over the documents, one for the
+rarities and one for the hits, however many blocks there are: a task holds one block at a time against each batch.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from typing import NamedTuple
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semspark.llm.scratch import cut, share, text_batches
+from semspark.llm.scratch import share, text_batches
 from semspark.llm.text import ALNUM, fields, slices, tokenize, with_text, word_sizes
 
 WINDOW, SHINGLE = 13, 3
@@ -90,26 +90,34 @@ def occurrences(w: Windows, texts: pa.Array) -> Iterator[tuple[int, np.ndarray,
         yield width, ids, tokens.ends, at[hit], place[hit]
 
 
-def rarity(docs: DataFrame, w: Windows) -> dict[int, np.ndarray]:
-    """How often each item shingle occurs in all documents (column text)."""
-    shared = share(docs.sparkSession, w)
+def rarity(docs: DataFrame, blocks: list[Callable[[], Windows]], sizes: list[dict[int, int]]) -> list[dict[int, np.ndarray]]:
+    """For each block how often each item shingle occurs in all documents (column text); sizes: shingles by width."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared()
-        sums = {k: np.zeros(len(c), np.int64) for k, c in w.codes.items()}
-        for batch in slices(batches, "text"):
-            for width, _, _, _, which in occurrences(w, batch.column("text")):
-                sums[width] += np.bincount(which, minlength=len(sums[width]))
-        for width, n in sums.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), width, np.int32)), pa.array(some.astype(np.int32)), pa.array(n[some])], names=["width", "i", "n"])
-
-    out = {k: np.zeros(len(c), np.int64) for k, c in w.codes.items()}
-    for r in docs.select("text").mapInArrow(count, "width int, i int, n long").groupBy("width", "i").agg(F.sum("n").alias("n")).collect():
-        out[r["width"]][r["i"]] = r["n"]  # at most a row for each shingle of the block
+        sums = [{k: np.zeros(n, np.int64) for k, n in x.items()} for x in sizes]
+        items = loaded(blocks)
+        for batch in batches:
+            for block, w in enumerate(items()):
+                for part in slices([batch], "text"):
+                    for width, _, _, _, which in occurrences(w, part.column("text")):
+                        sums[block][width] += np.bincount(which, minlength=len(sums[block][width]))
+        for block, own in enumerate(sums):
+            for width, n in own.items():
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), x, np.int32)) for x in (block, width)] + [pa.array(some.astype(np.int32)), pa.array(n[some])], names=["block", "width", "i", "n"])
+
+    out = [{k: np.zeros(n, np.int64) for k, n in x.items()} for x in sizes]
+    for r in docs.select("text").mapInArrow(count, "block int, width int, i int, n long").groupBy("block", "width", "i").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["block"]][r["width"]][r["i"]] = r["n"]  # at most a row for each shingle of the items
     return out
 
 
+def loaded(blocks: list[Callable[[], Any]]) -> Callable[[], Iterable[Any]]:
+    """For a task: gives the blocks of items, one in memory at a time, again and again; a single one stays."""
+    only = [blocks[0]()] if len(blocks) == 1 else None
+    return lambda: only or (block() for block in blocks)
+
+
 def prefixes(w: Windows, counts: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By width: the windows ordered by prefix shingle, where each shingle's windows begin, and the prefix's offset."""
     out, sizes = {}, np.diff(w.begins)
@@ -154,35 +162,24 @@ def verified(w: Windows, lead: dict, texts: pa.Array) -> Iterator[tuple[np.ndarr
                 yield start[some][same], window[some][same], doc[some][same]
 
 
-def _block(docs: DataFrame, texts: DataFrame, w: Windows, text_col: str) -> DataFrame:
-    """Rows of docs (row, or row and text) with n_words, spans (merged word ranges of hits) and items, against one block of items."""
-    spark = docs.sparkSession
-    shared = share(spark, (w, prefixes(w, rarity(texts, w))))
+def _hits(texts: pa.Array, w: Windows, lead: dict, at: np.ndarray, edge: np.ndarray, items: list[set[str]]) -> None:
+    """Add the windows of a block that occur: a step up and down in edge at each, and their items to each text."""
+    sizes = np.diff(w.begins)
+    for start, window, doc in verified(w, lead, texts):
+        np.add.at(edge, start + doc, 1)  # a place more for each text, so that ranges don't run together
+        np.add.at(edge, start + doc + sizes[window], -1)
+        pairs = np.unique(doc * len(sizes) + window)
+        for d, k in zip((pairs // len(sizes)).tolist(), (pairs % len(sizes)).tolist(), strict=True):
+            items[d].update(w.items[k])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, lead = shared()
-        sizes = np.diff(w.begins)
-        for batch in slices(with_text(batches, text_col), "text"):
-            texts = batch.column("text")
-            n_words, rows = word_sizes(texts, ALNUM), batch.num_rows
-            at = np.concatenate(([0], np.cumsum(n_words)))
-            edge, items = np.zeros(at[-1] + rows + 1, np.int64), [set() for _ in range(rows)]
-            for start, window, doc in verified(w, lead, texts):
-                np.add.at(edge, start + doc, 1)  # a place more for each text, so that ranges don't run together
-                np.add.at(edge, start + doc + sizes[window], -1)
-                pairs = np.unique(doc * len(sizes) + window)
-                for d, k in zip((pairs // len(sizes)).tolist(), (pairs % len(sizes)).tolist(), strict=True):
-                    items[d].update(w.items[k])
-            hit = np.concatenate(([0], (np.cumsum(edge) > 0).astype(np.int8), [0]))
-            begins, stops = np.flatnonzero(np.diff(hit) > 0), np.flatnonzero(np.diff(hit) < 0)
-            owner = np.searchsorted(at + np.arange(rows + 1), begins, "right") - 1
-            shift = (at + np.arange(rows + 1))[owner]
-            spans = pa.StructArray.from_arrays([pa.array(begins - shift, pa.int64()), pa.array(stops - shift, pa.int64())], names=["start", "stop"])
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(rows + 1)), pa.int32()), spans)
-            key = pa.array([xxhash.xxh64_intdigest((x or "").encode()) >> 1 for x in texts.to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), key, pa.array(n_words), lists, pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["row", "key", "n_words", "spans", "items"])
-
-    return docs.mapInArrow(work, fields("key long, n_words long, spans array<struct<start: long, stop: long>>, items array<string>", row=docs.schema["row"].dataType))
+
+def _spans(at: np.ndarray, edge: np.ndarray, rows: int) -> pa.ListArray:
+    hit = np.concatenate(([0], (np.cumsum(edge) > 0).astype(np.int8), [0]))
+    begins, stops = np.flatnonzero(np.diff(hit) > 0), np.flatnonzero(np.diff(hit) < 0)
+    owner = np.searchsorted(at + np.arange(rows + 1), begins, "right") - 1
+    shift = (at + np.arange(rows + 1))[owner]
+    spans = pa.StructArray.from_arrays([pa.array(begins - shift, pa.int64()), pa.array(stops - shift, pa.int64())], names=["start", "stop"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(rows + 1)), pa.int32()), spans)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", one_in: int = 20, carry: bool = False) -> DataFrame:
@@ -191,31 +188,42 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     Words are letters, digits and all beyond ASCII, A-Z lowered. spans are the merged word ranges that windows cover, n_hit
     their words; contaminated if that is one of ``one_in`` words at least. Null texts have no words, and items without
     words no windows; an item shorter than 13 words is one window. Repeated rows and items are kept each; a null item id
-    is the text "null".
+    is the text "null". Empty documents give no rows, an empty benchmark no hits; a very long text is worked on whole, and
+    other columns, whatever their names, are not read.
     """
-    text_batches(documents.sparkSession)
+    spark = documents.sparkSession
+    text_batches(spark)
     columns = [F.col(f"`{c}`") for c in documents.columns] if carry else [F.col(id_col)]
     text = F.col(text_col).cast("string").alias("text")
     docs = documents.select(F.struct(*columns).alias("row"), *([] if carry else [text]))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // (5 * ITEM_WORDS)))  # no word takes less than two characters with its blank, most six
-    parts = []
-    for k in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        parts.append(_block(docs, documents.select(text), windows([(r["item"], r["text"]) for r in some.toLocalIterator()]), text_col))
-    merged = parts[0]
-    if blocks > 1:  # hits of the blocks come together by row; copies of a row are told by how often each block gives it
-        for part in parts[1:]:
-            merged = merged.unionByName(part)
-        merged = cut(merged.withColumn("own", F.xxhash64(F.to_json("row"), "key")))
-        head = merged.groupBy("own", "key").agg(F.first("row").alias("row"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.expr(f"count(*) div {blocks}").alias("copies"))
-        kind = "array<struct<start: long, stop: long>>"
-        last = lambda done: F.element_at(done, -1)
-        joined = lambda done, x: F.struct(last(done)["start"].alias("start"), F.greatest(last(done)["stop"], x["stop"]).alias("stop"))
-        step = lambda done, x: F.when((F.size(done) > 0) & (last(done)["stop"] >= x["start"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined(done, x)).cast(kind)).cast(kind)).otherwise(F.concat(done, F.array(x).cast(kind)).cast(kind))
-        join = F.aggregate("all", F.array().cast(kind), step)
-        merged = head.select("row", "n_words", join.alias("spans"), "items", F.explode(F.expr("sequence(1, copies)")))
+    n = max(1, -(-total // (5 * ITEM_WORDS)))  # no word takes less than two characters with its blank, most six
+    blocks, sizes = [], []
+    for k in range(n):  # the driver makes one block of windows at a time
+        some = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
+        w = windows([(r["item"], r["text"]) for r in some.toLocalIterator()])
+        blocks.append(share(spark, w))
+        sizes.append({width: len(codes) for width, codes in w.codes.items()})
+    counts = rarity(documents.select(text), blocks, sizes)
+    leads = [share(spark, (block(), prefixes(block(), own))) for block, own in zip(blocks, counts, strict=True)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = loaded(leads)
+        for batch in with_text(batches, text_col):
+            parts = list(slices([batch], "text"))
+            state = []
+            for part in parts:
+                at = np.concatenate(([0], np.cumsum(word_sizes(part.column("text"), ALNUM))))
+                state.append((at, np.zeros(at[-1] + part.num_rows + 1, np.int64), [set() for _ in range(part.num_rows)]))
+            for w, lead in items():
+                for part, (at, edge, found) in zip(parts, state, strict=True):
+                    _hits(part.column("text"), w, lead, at, edge, found)
+            for part, (at, edge, found) in zip(parts, state, strict=True):
+                names = pa.array([sorted(x) for x in found], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(np.diff(at)), _spans(at, edge, part.num_rows), names], names=["row", "n_words", "spans", "items"])
+
+    merged = docs.mapInArrow(work, fields("n_words long, spans array<struct<start: long, stop: long>>, items array<string>", row=docs.schema["row"].dataType))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
     out = merged.select("row" if carry else "row.*", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))
