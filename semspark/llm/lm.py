@@ -6,8 +6,9 @@ context classes u (nearest) and v, class k scores (r[u] C1 + r[v] C2) . q[k] + b
 contexts gives the normaliser of each, so every class probability is exactly normalised. A rare word has its bucket's
 probability times its smoothed share (c + 1) / (n + v + 1) of the bucket, with counts over the whole training part.
 
-Nothing is sampled: word counts are a distributed aggregation over all training texts, and each task trains a copy of
-the same starting model on all its training tokens, after which the copies are averaged by their token counts.
+Nothing is sampled: word counts are a distributed aggregation over all training texts, which are dealt by hash to shards of
+about SHARD tokens. Each shard trains a copy of the same model on all its tokens, after which the copies are averaged by
+their token counts; the next round starts from the average.
 Counts of the ``COUNTED`` most frequent words are broadcast (a fixed bound); rarer words are joined to their counts.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semspark.llm.scratch import cut, share, text_batches
+from semspark.llm.scratch import bounded_sample, cut, share, text_batches
 from semspark.llm.text import BLANKS, Tokens, slices, tokenize
 
 HEAD, BUCKETS, COUNTED, WIDTH = 1024, 256, 1 << 18, 16
@@ -33,7 +34,10 @@ HEAD, BUCKETS, COUNTED, WIDTH = 1024, 256, 1 << 18, 16
 NOISE, BATCH, STEP = 32, 2048, 0.04
 #: No word holds a blank, so this stands for the end of a text among the words.
 END = " "
-LONGEST = 64
+#: Bytes that the counted words may take together.
+COUNTED_BYTES = 16 << 20
+#: Training tokens of a shard, rounds over all shards, and models that are added up in one task.
+SHARD, ROUNDS, ADDED = 4_000_000, 2, 32
 
 
 class Words(NamedTuple):
@@ -100,14 +104,22 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def frequent(counts: DataFrame, most: int) -> list:
-    """At most ``most`` rows of the highest counts, cut between two levels of a logarithmic histogram."""
-    short = counts.where((F.length("word") <= LONGEST) & (F.col("word") != END)).withColumn("level", F.floor(F.log2("n") * 8).cast("int"))
-    seen, level = 0, 1 << 30
-    for row in sorted(short.groupBy("level").count().collect(), reverse=True):
-        if seen + row["count"] > most:
+    """At most ``most`` rows of the highest counts, of COUNTED_BYTES at most, cut between two levels of a logarithmic histogram.
+
+    Where even the highest level is too large, those of its words with the least hashes stand for it.
+    """
+    words = counts.where(F.col("word") != END).withColumn("level", F.floor(F.log2("n") * 8).cast("int"))
+    levels = sorted(words.groupBy("level").agg(F.count("*"), F.sum(F.octet_length("word"))).collect(), reverse=True)
+    seen, size, level = 0, 0, 1 << 30
+    for row in levels:
+        if seen + row[1] > most or size + row[2] > COUNTED_BYTES:
             break
-        seen, level = seen + row["count"], row["level"]
-    rows = short.where(F.col("level") >= level).select("word", "n").toArrow()  # at most ``most``
+        seen, size, level = seen + row[1], size + row[2], row[0]
+    some = words.where(F.col("level") >= level)
+    if levels and not seen:
+        room = min(most, int(levels[0][1] * COUNTED_BYTES / max(levels[0][2], 1)))
+        some = bounded_sample(words.where(F.col("level") == levels[0][0]), "word", room)
+    rows = some.select("word", "n").toArrow()
     return sorted(zip(rows["n"].to_pylist(), rows["word"].to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
 
 
@@ -153,7 +165,7 @@ def contexts(stream: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray,
 
 
 def start(v: Words) -> Model:
-    """The same small random start for every task; biases begin at the class frequencies."""
+    """The same small random start for every shard; biases begin at the class frequencies."""
     k, rng = v.classes(), np.random.default_rng(7)
     n = class_counts(v) + 1
     small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
@@ -171,14 +183,14 @@ def scatter(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Trainer:
     """Noise-contrastive estimation: tell each token from NOISE classes drawn by frequency and shared by a minibatch."""
 
-    def __init__(self, v: Words):
-        self.m = Model(*(x.copy() for x in start(v)))
+    def __init__(self, v: Words, m: Model, round_: int = 0):
+        self.m = Model(*(x.copy() for x in m))
         n = class_counts(v) + 1
         self.p = n / n.sum()
         self.log_kp = np.log(NOISE * self.p).astype(np.float32)
         self.cumulative = np.cumsum(self.p)
         self.g = Model(*(np.full(x.shape, 1e-6, np.float32) for x in self.m))
-        self.rng, self.seen = np.random.default_rng(11), 0
+        self.rng, self.seen = np.random.default_rng(11 + round_), 0
 
     def feed(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
         order = self.rng.permutation(len(w))
@@ -215,33 +227,70 @@ class Trainer:
         x[rows] += STEP * grad / np.sqrt(g[rows])
 
 
+def _fitting(begin: Callable[[], tuple[Words, Model]], k: int) -> Callable[[pa.Table], pa.Table]:
+    """The function that trains a shard's copy of the model in round k and gives its parameters times its tokens."""
+
+    def fit(group: pa.Table) -> pa.Table:
+        v, m = begin()
+        trainer = Trainer(v, m, k)
+        rows = sorted(zip(group.column("h").to_pylist(), group.column("stream").to_pylist(), strict=True))
+        for i in range(0, len(rows), 2000):
+            some = [np.frombuffer(x, np.int16).astype(np.int64) for _, x in rows[i : i + 2000]]
+            stream, at = np.concatenate(some), np.concatenate(([0], np.cumsum([len(x) for x in some])))
+            trainer.feed(*contexts(stream, at, v.head), stream)
+        flat = np.concatenate([x.ravel() for x in trainer.m] + [np.ones(1)]).astype(np.float64) * trainer.seen
+        return pa.table({"shard": group.column("shard")[:1].cast(pa.int32()), "x": pa.array([flat], pa.list_(pa.float64()))})
+
+    return fit
+
+
 def train(texts: DataFrame, v: Words) -> Model:
-    """One pass of all tasks over all their training tokens, then the mean of the models weighted by tokens."""
-    shapes = [x.shape for x in start(v)]
-    shared = share(texts.sparkSession, v)
+    """ROUNDS passes over all training texts (columns id, text); after each, the mean of the shards' models by tokens.
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A shard holds about SHARD tokens, dealt by hash of id and text and ordered by it, so that neither partitions nor
+    machines change the model. Texts go to their shards as class numbers of two bytes.
+    """
+    spark, m = texts.sparkSession, start(v)
+    shared, shards = share(spark, v), max(1, round(v.total / SHARD))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared()
-        trainer = Trainer(v)
         for batch in slices(batches, "text"):
             tokens = tokenize(batch.column("text"), BLANKS)
             words, codes = encoded(tokens)
             stream, at = with_ends(classes_of(words, v)[0][codes], tokens.ends, v.head)
-            trainer.feed(*contexts(stream, at, v.head), stream)
-        if trainer.seen:
-            flat = np.concatenate([x.ravel() for x in trainer.m] + [np.ones(1)]).astype(np.float64) * trainer.seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "x"])
-
-    rows = texts.mapInArrow(fit, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-    if not rows.num_rows:
-        return start(v)
-    flat = np.zeros(rows.num_rows)
-    flat[rows["i"].to_numpy()] = rows["x"].to_numpy()
-    flat, out = flat[:-1] / flat[-1], []
-    for shape in shapes:
-        size = math.prod(shape)
-        out, flat = [*out, flat[:size].reshape(shape).astype(np.float32)], flat[size:]
-    return Model(*out)
+            raw = stream.astype(np.int16).tobytes()
+            own = [raw[2 * x : 2 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(own, pa.binary())], names=["h", "stream"])
+
+    hashed = texts.select(F.xxhash64("id", "text").alias("h"), "text")
+    table = cut(hashed.mapInArrow(encode, "h long, stream binary").withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")))
+    for k in range(ROUNDS):
+        fit = _fitting(share(spark, (v, m)), k)
+        sums = added(table.groupBy("shard").applyInArrow(fit, "shard int, x array<double>"), shards)
+        if sums is None:
+            return m
+        flat, out = sums[:-1] / sums[-1], []
+        for x in m:
+            out, flat = [*out, flat[: x.size].reshape(x.shape).astype(np.float32)], flat[x.size :]
+        m = Model(*out)
+    return m
+
+
+def added(models: DataFrame, n: int) -> np.ndarray | None:
+    """The sum of n arrays (shard, x), ADDED of them in a task at a time, in the order of their numbers."""
+
+    def add(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("shard").to_numpy(), kind="stable")
+        total = sum(group.column("x")[int(i)].values.to_numpy() for i in order)
+        return pa.table({"shard": pa.array([group.column("into")[0].as_py()], pa.int32()), "x": pa.array([total], pa.list_(pa.float64()))})
+
+    while True:
+        n = -(-n // ADDED)
+        models = cut(models.withColumn("into", F.expr(f"shard div {ADDED}").cast("int")).groupBy("into").applyInArrow(add, "shard int, x array<double>"))
+        if n <= 1:
+            rows = models.select("x").toArrow()
+            return rows["x"][0].values.to_numpy() if rows.num_rows else None
 
 
 class Tables(NamedTuple):
@@ -271,14 +320,15 @@ def score(documents: DataFrame, learns: Column, id_col: str = "doc_id", text_col
     """Log10 probability of every whole text, learning from the rows where ``learns``.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram model) and score (log-bilinear).
-    A null text is empty: one token, its end. Repeated rows are scored each; other columns are ignored. Without any
-    training row every count is 0 and the model is its start.
+    A null text is empty: one token, its end. Repeated rows are scored each; other columns, whatever their names, are not
+    read; an empty table gives no rows; a very long text is scored whole. Without any training row every count is 0 and the
+    model is its start. Rows are told apart by 128 bits of id and text.
     """
     text_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learns, F.lit(False)).alias("learn"))
     counts = cut(word_counts(docs.where("learn").select("text")))
     v = vocabulary(counts)
-    t = tables(train(docs.where("learn").select("text"), v))
+    t = tables(train(docs.where("learn").select(F.col("doc_id").alias("id"), "text"), v))
     spark = documents.sparkSession
     shared = share(spark, (t, v))
     ln10, all_log = math.log(10), math.log10(v.total + v.distinct + 1)
@@ -305,10 +355,10 @@ def score(documents: DataFrame, learns: Column, id_col: str = "doc_id", text_col
             base = log_c[stream] - all_log
             full = lp + np.where(cls > v.head, log_c[stream] - in_bucket[cls], 0.0)
             ids, texts = batch.column("doc_id"), batch.column("text")
-            keys = pa.array([xxhash.xxh32_intdigest((x or "").encode()) & 0x7FFFFFFF for x in texts.to_pylist()], pa.int32())
+            keys = pa.array([xxhash.xxh3_128_digest(f"{i}\0{'' if x is None else x}".encode()) for i, x in zip(ids.to_pylist(), texts.to_pylist(), strict=True)], pa.binary())
             n = batch.num_rows
             none = pa.nulls(n, pa.int32())
-            doc = [ids, keys, batch.column("learn"), pa.array([f" {i}" for i in ids.to_pylist()], pa.string()), none, pa.array(np.diff(at)), pa.array(log10_sum(seen[stream], at).astype(np.int64)), pa.array(log10_sum(base, at)), pa.array(log10_sum(full, at))]
+            doc = [ids, keys, batch.column("learn"), pa.array([f" {x.hex()}" for x in keys.to_pylist()], pa.string()), none, pa.array(np.diff(at)), pa.array(log10_sum(seen[stream], at).astype(np.int64)), pa.array(log10_sum(base, at)), pa.array(log10_sum(full, at))]
             yield pa.RecordBatch.from_arrays(doc, names=names)
             # words beyond the broadcast counts: one row for each text and word
             far_off = np.append(place < 0, False)[stream]
@@ -321,8 +371,9 @@ def score(documents: DataFrame, learns: Column, id_col: str = "doc_id", text_col
 
     names = ["doc_id", "key", "learn", "word", "times", "n_tokens", "n_known", "base", "full"]
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    parts = docs.mapInArrow(rate, f"doc_id {id_type}, key int, learn boolean, word string, times int, n_tokens long, n_known long, base double, full double")
-    # both sides shuffle by word; no word beyond the broadcast ones holds more than 1 / COUNTED of the training tokens
+    parts = docs.mapInArrow(rate, f"doc_id {id_type}, key binary, learn boolean, word string, times int, n_tokens long, n_known long, base double, full double")
+    # both sides shuffle by word, texts themselves by a name of their own; a word that many held-out texts alone have is a
+    # key that the join splits, since only one side has many rows of it
     joined = parts.join(counts.select("word", F.col("n").alias("c")), "word", "left")
     more = F.col("times") * F.log10(F.col("c") + 1)
     got = joined.groupBy("doc_id", "key", "learn").agg(

@@ -80,7 +80,7 @@ def test_language_model_is_normalised_and_learns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     learns = crc_fold("doc_id", 7) != 2
     v = lm.vocabulary(lm.word_counts(df.where(learns).select("text")))
-    t = lm.tables(lm.train(df.where(learns).select("text"), v))
+    t = lm.tables(lm.train(df.where(learns).selectExpr("doc_id AS id", "text"), v))
     k = v.classes()
     p = np.exp(t.near[:, None, :] + t.far[None, :, :] + t.bias - t.norm[:, :, None])[: v.head : 7, : v.head : 7]
     assert np.allclose(p.sum(-1), 1, atol=1e-3) and p.shape[-1] == k
@@ -88,6 +88,51 @@ def test_language_model_is_normalised_and_learns(spark):
     assert held.agg(F.sum("score") > F.sum("base_score")).first()[0]
 
 
+def plain_lm_scores(v, t, texts):
+    """log10 of the model's probability, token by token."""
+    place, out = {w: i for i, w in enumerate(v.words.to_pylist())}, []
+    counts = dict(zip(v.words.to_pylist(), v.counts.tolist(), strict=True))
+    bucket = lambda w: zlib.crc32(w[-2:].encode()) % lm.BUCKETS
+    for text in texts:
+        u = w = v.head
+        total = 0.0
+        for x in [*words(text), None]:
+            k = v.head if x is None else place[x] if place.get(x, v.head) < v.head else v.head + 1 + bucket(x)
+            lp = float(t.near[u, k]) + float(t.far[w, k]) + float(t.bias[k])
+            all_ = np.log(np.exp((t.near[u] + t.far[w] + t.bias).astype(np.float64)).sum())
+            total += (lp - all_) / math.log(10)
+            if k > v.head:
+                b = bucket(x)
+                total += math.log10((counts.get(x, 0) + 1) / (v.bucket_n[b] + v.bucket_v[b] + 1))
+            u, w = k, u
+        out.append(total)
+    return out
+
+
+def test_language_model_score_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 20)
+    monkeypatch.setattr(lm, "SHARD", 700)
+    monkeypatch.setattr(lm, "ADDED", 2)
+    g = np.random.default_rng(1)
+    rows = [(i, " ".join(f"w{int(x)}" for x in np.minimum(g.zipf(1.4, int(g.integers(0, 60))), 90))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    learns = crc_fold("doc_id", 7) != 2
+    v = lm.vocabulary(lm.word_counts(df.where(learns).select("text")))
+    t = lm.tables(lm.train(df.where(learns).selectExpr("doc_id AS id", "text"), v))
+    one, eight = ({r["doc_id"]: r["score"] for r in lm.score(df.repartition(n), learns).collect()} for n in (1, 8))
+    want = plain_lm_scores(v, t, [x for _, x in rows])
+    for (i, _), score in zip(rows, want, strict=True):
+        assert math.isclose(one[i], score, rel_tol=2e-4) and math.isclose(one[i], eight[i], rel_tol=1e-6)
+
+
+@pytest.mark.parametrize(("most", "size"), [(5, 1 << 20), (50, 60), (50, 1 << 20)])
+def test_frequent_words_are_never_none(spark, monkeypatch, most, size):
+    monkeypatch.setattr(lm, "COUNTED_BYTES", size)
+    counts = spark.createDataFrame([(f"word{i}", 7) for i in range(40)] + [("x" * 70, 6), (lm.END, 99)], "word string, n long")
+    got = lm.frequent(counts, most)
+    assert 0 < len(got) <= most and sum(len(w) for _, w in got) <= size and (most < 41 or size < 100 or len(got) == 41)
+
+
 def test_language_model_without_rows(spark):
     assert lm.score(table(spark, []), F.lit(True)).count() == 0
     got = lm.score(table(spark), F.lit(False)).collect()
