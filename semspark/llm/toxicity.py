@@ -24,6 +24,8 @@ from semspark.llm.text import ALNUM, fields, slices, tokenize, with_text
 EXAMPLES, EXAMPLE_BYTES, BLOCK, NEIGHBOURS = 8000, 64 << 20, 64, 40
 #: Blocks evaluated before the first comparison of bounds; each further round takes twice as many.
 FIRST = 8
+#: A term is heavy from this share of a query's squared length on.
+HEAVY = 0.2
 #: Weight of words that tell nothing, and the squared phi times examples that chance reaches (chi-squared, p of 0.001).
 FLOOR, CHANCE = 0.01, 10.83
 #: Weight of the prior among the votes, and levels of the calibration.
@@ -86,6 +88,17 @@ def _sums(x: Index, term: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.bincount(own, np.repeat(w, np.subtract(ends, begins)) * part, minlength=len(x.ids))
 
 
+def _best(sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    sums = np.round(sums, 9)
+    if len(sums) > k:
+        hit = np.flatnonzero(sums >= np.partition(sums, len(sums) - k)[len(sums) - k])
+    else:
+        hit = np.arange(len(sums))
+    hit = hit[sums[hit] > 0]
+    top = np.lexsort((hit, -sums[hit]))[:k]
+    return hit[top], sums[hit[top]]
+
+
 def _spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All places of ranges, one after another."""
     return np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
@@ -96,11 +109,14 @@ def nearest(x: Index, term: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarr
 
     A block's bound is the sum of its largest weights. Blocks are evaluated by falling bound in rounds, and the k-th best
     so far is the threshold that the bounds of the next round's blocks have to reach. Where more than half of all blocks
-    still reach it, all postings are summed at once, which is cheaper than their selection.
+    still reach it, all postings are summed at once, which is cheaper than their selection; so is a query without a
+    heavy term, since sums over many small weights bound nothing.
     """
     none = np.zeros(0, np.int64), np.zeros(0)
     if not len(term):
         return none
+    if w.max() ** 2 < HEAVY:
+        return _best(_sums(x, term, w), k)
     sizes = x.run_ptr[term + 1] - x.run_ptr[term]
     runs = _spread(x.run_ptr[term], sizes)
     block, run_w = x.run_block[runs], np.repeat(w, sizes)
@@ -116,22 +132,16 @@ def nearest(x: Index, term: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarr
             if done == len(order):
                 break
         if done and len(order) - done > blocks // 2:
-            sums = np.round(_sums(x, term, w), 9)
-            hit = np.flatnonzero(sums > 0)
-            if len(hit) > 4 * k:
-                least = np.partition(sums[hit], len(hit) - k)[len(hit) - k]
-                hit = hit[sums[hit] >= least]
-            best, cos, done = hit, sums[hit], len(order)
-        else:
-            some = np.zeros(blocks, bool)
-            some[order[done : done + step]] = True
-            mine = np.flatnonzero(some[block])
-            n = x.run_start[runs[mine] + 1] - x.run_start[runs[mine]]
-            at = _spread(x.run_start[runs[mine]], n)
-            hit, place = np.unique(x.examples[at], return_inverse=True)
-            sums = np.round(np.bincount(place, np.repeat(run_w[mine], n) * x.weights[at]), 9)
-            best, cos = np.concatenate((best, hit[sums > 0])), np.concatenate((cos, sums[sums > 0]))
-            done, step = done + step, 2 * step
+            return _best(_sums(x, term, w), k)
+        some = np.zeros(blocks, bool)
+        some[order[done : done + step]] = True
+        mine = np.flatnonzero(some[block])
+        n = x.run_start[runs[mine] + 1] - x.run_start[runs[mine]]
+        at = _spread(x.run_start[runs[mine]], n)
+        hit, place = np.unique(x.examples[at], return_inverse=True)
+        sums = np.round(np.bincount(place, np.repeat(run_w[mine], n) * x.weights[at]), 9)
+        best, cos = np.concatenate((best, hit[sums > 0])), np.concatenate((cos, sums[sums > 0]))
+        done, step = done + step, 2 * step
         top = np.lexsort((best, -cos))[:k]
         best, cos = best[top], cos[top]
     return best, cos
