@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from semspark.llm import simhash
 from semspark.llm.components import components
 from semspark.llm.crowds import by_blocks
-from semspark.llm.scratch import cut, text_batches
+from semspark.llm.scratch import cut, forget, text_batches
 from semspark.llm.text import BLANKS, slices, tokenize
 
 SEED = 42
@@ -140,7 +140,8 @@ def few(df: DataFrame) -> DataFrame:
 def shared_keys(texts: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], width: int) -> DataFrame:
     """(key, fp, n) for the keys that n different sets have, n at least 2, from the texts of a column ``text``.
 
-    Keys are counted first, with partial sums, so that the many that one text alone has go no further.
+    Keys are counted first, with partial sums, so that the many that one text alone has go no further. They take more room
+    than the texts, so that they are made again rather than written.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,9 +152,11 @@ def shared_keys(texts: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], w
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(fps.view(np.int64))], names=["key", "fp"])
 
-    rows = cut(texts.select("text").mapInArrow(work, "key long, fp long"))
-    again = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    rows = texts.select("text").mapInArrow(work, "key long, fp long")
+    again = cut(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
+    forget(texts.sparkSession)
     members = cut(rows.join(again, "key").distinct())
+    forget(texts.sparkSession)
     return cut(members.join(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
 
 

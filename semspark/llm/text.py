@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 #: Texts are worked on in slices of about this many bytes (a longer text makes a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _UPPER = {c: c + 32 for c in range(65, 91)}
 
