@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 
 def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
-    """Broadcast a value of bounded size; call the result in a task to get it. Classes of this package travel by value."""
-    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: pickle.loads(sent.value)  # noqa: S301
+    """Broadcast a value of bounded size, compressed; call the result in a task to get it. Classes of this package travel by value."""
+    raw = cloudpickle.dumps(value)
+    size, sent = len(raw), spark.sparkContext.broadcast(pa.compress(raw, codec="zstd", asbytes=True))
+    return lambda: pickle.loads(pa.decompress(sent.value, size, codec="zstd", asbytes=True))  # noqa: S301
 
 
 #: Rows of an Arrow batch where whole texts go to Python, and the setting that bounds them.

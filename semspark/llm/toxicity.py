@@ -7,7 +7,7 @@ apart count too, but less than those that do, and no list of words is made.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -50,10 +50,9 @@ class Index(NamedTuple):
     run_block: np.ndarray
     run_start: np.ndarray
     run_most: np.ndarray
-    #: Share of label 1, the same among examples without words, and calibration (raw score, share).
+    #: Share of label 1, and the same among examples without words.
     prior: float
     bare: float
-    curve: tuple[np.ndarray, np.ndarray]
 
 
 def term_counts(texts: pa.Array, place) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,8 +153,8 @@ def vote(x: Index, best: np.ndarray, cos: np.ndarray) -> float:
     return float((w @ x.labels[best] + PRIOR * x.prior) / (w.sum() + PRIOR))
 
 
-def calibrated(x: Index, raw: float) -> float:
-    return float(np.clip(np.interp(raw, *x.curve), 0, 1))
+def calibrated(curve: tuple[np.ndarray, np.ndarray], raw: float) -> float:
+    return float(np.clip(np.interp(raw, *curve), 0, 1))
 
 
 def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,8 +173,8 @@ def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(([0.0], (ends[1:] + ends[:-1]) / 2, [1.0])), np.concatenate(([share_[0] / 2], share_, [(1 + share_[-1]) / 2]))
 
 
-def build(ids: list, labels: np.ndarray, texts: list[str]) -> Index:
-    """The index of examples, each text once. Examples lie by their heaviest term, so that blocks differ in their bounds."""
+def build(ids: list, labels: np.ndarray, texts: list[str]) -> Examples:
+    """Examples for an index, each text once. Examples lie by their heaviest term, so that blocks differ in their bounds."""
     known: dict[str, int] = {}
 
     def place(words: pa.Array) -> np.ndarray:
@@ -205,20 +204,43 @@ def build(ids: list, labels: np.ndarray, texts: list[str]) -> Index:
     rank[order] = np.arange(n)
     owner = rank[owner]
     at = np.lexsort((owner, term))
-    owner, term, w = owner[at], term[at], w[at]
-    first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (owner[1:] // BLOCK != owner[:-1] // BLOCK)))) if len(term) else np.zeros(0, np.int64)
     with_words = heavy[order] < v
     prior = float((pos + 0.5) / (n + 1)) if n else 0.0
     bare = labels[order][~with_words]
-    return Index(
+    return Examples(
         terms=pa.array(list(known), pa.string()), scale=scale, unknown=float(idf(0) * FLOOR), ids=[ids[i] for i in order], labels=labels[order],
-        ptr=np.searchsorted(term, np.arange(v + 1)), examples=owner.astype(np.int32), weights=w.astype(np.float32),
-        run_ptr=np.searchsorted(term[first], np.arange(v + 1)), run_block=(owner[first] // BLOCK).astype(np.int32), run_start=np.append(first, len(term)),
-        run_most=np.maximum.reduceat(w.astype(np.float32), first) if len(first) else np.zeros(0, np.float32),
-        prior=prior, bare=float((bare.sum() + prior) / (len(bare) + 1)), curve=(np.array([0.0, 1.0]), np.array([0.0, 1.0])),
+        ptr=np.searchsorted(term[at], np.arange(v + 1)).astype(np.int32), examples=owner[at].astype(np.int32), times=times[at].astype(np.int32),
+        prior=prior, bare=float((bare.sum() + prior) / (len(bare) + 1)),
     )
 
 
+class Examples(NamedTuple):
+    """What an index is made from, as it travels: counts of words instead of weights."""
+
+    terms: pa.StringArray
+    scale: np.ndarray
+    unknown: float
+    ids: list
+    labels: np.ndarray
+    ptr: np.ndarray
+    examples: np.ndarray
+    times: np.ndarray
+    prior: float
+    bare: float
+
+    def index(self) -> Index:
+        n, owner = len(self.ids), self.examples.astype(np.int64)
+        term = np.repeat(np.arange(len(self.terms)), np.diff(self.ptr))
+        w = (1 + np.log(self.times)) * self.scale[term]
+        w = (w / np.sqrt(np.bincount(owner, w * w, minlength=n))[owner]).astype(np.float32)
+        first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (owner[1:] // BLOCK != owner[:-1] // BLOCK)))) if len(term) else np.zeros(0, np.int64)
+        return Index(
+            terms=self.terms, scale=self.scale, unknown=self.unknown, ids=self.ids, labels=self.labels, ptr=self.ptr.astype(np.int64), examples=self.examples, weights=w,
+            run_ptr=np.searchsorted(term[first], np.arange(len(self.terms) + 1)), run_block=(owner[first] // BLOCK).astype(np.int32), run_start=np.append(first, len(term)),
+            run_most=np.maximum.reduceat(w, first) if len(first) else np.zeros(0, np.float32), prior=self.prior, bare=self.bare,
+        )
+
+
 def examples_of(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """(id, label, text): at most EXAMPLES labelled documents where ``learns``, of EXAMPLE_BYTES bytes, each text once.
 
@@ -238,19 +260,20 @@ def examples_of(documents: DataFrame, labels: DataFrame, learns: Column, id_col:
     return sample.select("id", "label", "text")
 
 
-def learn(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str, text_col: str, label_col: str) -> Index:
-    """The index, calibrated on all examples: tasks score each by its neighbours other than itself."""
+def learn(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str, text_col: str, label_col: str) -> tuple[Callable[[], Examples], tuple[np.ndarray, np.ndarray]]:
+    """The shared examples and the calibration (raw score, share) on all of them: tasks score each by its neighbours other
+    than itself."""
     spark = documents.sparkSession
     sample = examples_of(documents, labels, learns, id_col, text_col, label_col)
     rows = sorted(sample.collect(), key=lambda r: r["id"])
     x = build([r["id"] for r in rows], np.array([r["label"] for r in rows]), [r["text"] for r in rows])
-    if not rows:
-        return x
     shared = share(spark, x)
+    if not rows:
+        return shared, (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     place = {i: k for k, i in enumerate(x.ids)}
 
     def leave_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = shared()
+        x = shared().index()
         for batch in slices(batches, "text"):
             raw = []
             for e, (term, w) in zip(batch.column("e").to_pylist(), vectors(batch.column("text"), x.terms, x.scale, x.unknown), strict=True):
@@ -263,7 +286,7 @@ def learn(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str,
     parts = spark.sparkContext.defaultParallelism * 2
     own = sample.join(F.broadcast(numbered), "id").select("e", "label", "text").repartition(parts, "e")
     got = own.mapInArrow(leave_out, "raw double, label int").where("raw IS NOT NULL").collect()  # EXAMPLES at most
-    return x._replace(curve=isotonic(np.array([r["raw"] for r in got]), np.array([r["label"] for r in got], float)))
+    return shared, isotonic(np.array([r["raw"] for r in got]), np.array([r["label"] for r in got], float))
 
 
 def score(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", carry: bool = False, evidence: int = 3) -> DataFrame:
@@ -277,14 +300,14 @@ def score(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str =
     very long text is worked on whole, and other columns, whatever their names, are never read.
     """
     text_batches(documents.sparkSession)
-    index = share(documents.sparkSession, learn(documents, labels, learns, id_col, text_col, label_col))
+    shared, curve = learn(documents, labels, learns, id_col, text_col, label_col)
     columns = [F.col(f"`{c}`") for c in documents.columns] if carry else [F.col(id_col)]
     text = [] if carry else [F.col(text_col).cast("string").alias("text")]
     docs = documents.select(F.struct(*columns).alias("row"), (~F.coalesce(learns, F.lit(False))).alias("held_out"), *text)
     id_kind = documents.schema[id_col].dataType.simpleString()
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = index()
+        x = shared().index()
         memo: dict[int, tuple] = {}  # exact copies are searched once; a bounded number of texts is remembered
         for batch in slices(with_text(batches, text_col), "text"):
             scores, notes = [], []
@@ -293,7 +316,7 @@ def score(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str =
                 if (got := memo.get(key)) is None:
                     best, cos = nearest(x, term, w, NEIGHBOURS)
                     note = [{"id": x.ids[e], "cosine": float(c), "label": int(x.labels[e])} for e, c in zip(best[:evidence], cos[:evidence], strict=True)]
-                    got = calibrated(x, vote(x, best, cos)) if len(best) else x.bare, note
+                    got = calibrated(curve, vote(x, best, cos)) if len(best) else x.bare, note
                     if len(memo) < 20_000:
                         memo[key] = got
                 scores.append(got[0])

@@ -242,7 +242,7 @@ def test_block_max_search_is_exact(terms):
     texts = [" ".join(f"t{int(j)}" for j in np.minimum(g.zipf(1.3, int(g.integers(1, 40))), terms)) for _ in range(700)]
     texts[7] = ""
     labels = np.array([int("t7 " in t) for t in texts])
-    x = toxicity.build(list(range(700)), labels, texts)
+    x = toxicity.build(list(range(700)), labels, texts).index()
     dense = np.zeros((700, len(x.terms)))
     dense[x.examples, np.repeat(np.arange(len(x.terms)), np.diff(x.ptr))] = x.weights
     queries = [*texts[:60], "t7", "t7 t9 t11 new", "t1 " * 9]
