@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from semspark.llm import simhash
 from semspark.llm.components import components
 from semspark.llm.crowds import by_blocks
-from semspark.llm.scratch import cut, forget, text_batches
+from semspark.llm.scratch import cut, few, forget, text_batches
 from semspark.llm.text import BLANKS, slices, tokenize
 
 SEED = 42
@@ -29,8 +29,6 @@ SEED = 42
 SKETCH = 1024
 #: Keys with up to this many sets compare all of them.
 CROWD = 32
-#: Up to this many wanted sets travel to the texts; beyond, both are shuffled.
-BROADCAST_ROWS = 200_000
 #: Sizes at which a class of set sizes begins: each class reaches half as far again.
 STARTS = [1]
 while STARTS[-1] < 1 << 40:
@@ -132,11 +130,6 @@ def rows_of(documents: DataFrame, id_col: str, text_col: str, width: int) -> Dat
     return docs.mapInArrow(work, f"id {docs.schema['id'].dataType.simpleString()}, fp long, hash long, n long, sim long, sketch array<long>")
 
 
-def few(df: DataFrame) -> DataFrame:
-    """df, to be broadcast where it has BROADCAST_ROWS rows at most."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def shared_keys(texts: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], width: int) -> DataFrame:
     """(key, fp, n) for the keys that n different sets have, n at least 2, from the texts of a column ``text``.
 

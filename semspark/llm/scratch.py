@@ -78,6 +78,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+#: Tables of ids and hashes of at most so many rows are broadcast; larger ones are joined by shuffling.
+BROADCAST_ROWS = 200_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, a written table of ids and hashes, to be broadcast where it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def forget(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files that nothing refers to any more: it does so when the driver collects garbage."""
     gc.collect()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from semspark.llm.components import components
 from semspark.llm.crowds import by_blocks, forest
-from semspark.llm.scratch import cut, text_batches
+from semspark.llm.scratch import cut, few, text_batches
 from semspark.llm.text import BLANKS, slices
 
 SEED, BITS = 42, 64
@@ -178,8 +178,8 @@ def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows link whose sets of word shingles have at least the Jaccard similarity p / q, counted exactly; all texts without
     words are copies of each other. Candidates come first from the SimHash index at ``distance`` bits. Texts of similarity
     0.8 differ in up to 18 bits, which no index of 64 bits finds at a bearable cost, so ``semspark.llm.jaccard`` finds the
-    rest. Of several rows with the least id the least fingerprint, then the least text hash, then the least of all columns
-    as JSON decides. An empty table stays empty; extra columns of any name come back as they are.
+    rest. Of several rows with the least id the least fingerprint, then the least text hash, then the least hash of all
+    columns decides. An empty table stays empty; extra columns of any name come back as they are.
     """
     from semspark.llm import jaccard
 
@@ -194,5 +194,11 @@ def keep_first(documents: DataFrame, docs: DataFrame, tied: DataFrame, id_col: s
     kept = first.select(F.col("x.id").alias("kept"), F.col("x.hash").alias("kept_hash"))
     row = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
     rows = documents.select(row.alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
-    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
-    return rows.groupBy("id", "hash").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    kept, own = cut(kept), F.col("id").eqNullSafe(F.col("kept")) & (F.col("hash") == F.col("kept_hash"))
+    rows = rows.join(few(kept), own, "left_semi")
+    # rows of one id and text are rare, so that only they meet
+    twice = cut(docs.groupBy("id", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("kept"), F.col("hash").alias("kept_hash")))
+    if not twice.count():
+        return rows.select("row.*")
+    first = rows.join(few(twice), own, "left_semi").groupBy("id", "hash").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return rows.join(few(twice), own, "left_anti").select("row.*").unionByName(first.select("row.*"))
