@@ -25,8 +25,8 @@ from semspark.llm.scratch import cut, few, forget, text_batches
 from semspark.llm.text import BLANKS, slices, tokenize
 
 SEED = 42
-#: Bits of a sketch.
-SKETCH = 1024
+#: Least and most bits of a sketch.
+SKETCH, SKETCH_MOST = 1 << 10, 1 << 20
 #: Keys with up to this many sets compare all of them.
 CROWD = 32
 #: Sizes at which a class of set sizes begins: each class reaches half as far again.
@@ -108,11 +108,24 @@ def segments(members: np.ndarray, similarity: tuple[int, int] = (4, 5)) -> np.nd
 
 
 def sketch(members: np.ndarray) -> np.ndarray:
-    """For each of SKETCH values of a hash whether an odd number of members has it, as bits of longs."""
-    odd = np.bincount((members & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    """For each value of a hash whether an odd number of members has it, as bits of longs: as many as members, or up to twice as many."""
+    bits = min(max(SKETCH, 1 << max(len(members) - 1, 0).bit_length()), SKETCH_MOST)
+    odd = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def folded(sketches: np.ndarray) -> np.ndarray:
+    """Sketches of half as many bits."""
+    half = sketches.shape[-1] // 2
+    return sketches[..., :half] ^ sketches[..., half:]
+
+
+def folded_column(own: Column, other: Column) -> Column:
+    """A sketch in the length of another's, if that has half as many bits."""
+    half = (F.size(own) / 2).cast("int")
+    return F.when(F.size(own) > F.size(other), F.zip_with(F.slice(own, 1, half), F.slice(own, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(own)
+
+
 def rows_of(documents: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(id, fp, hash, n, sim, sketch) for each row: fp is a hash of the set of n shingles (0 without words), sim its SimHash."""
 
@@ -179,8 +192,9 @@ def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, si
     """Those of the pairs (a, b) whose sets have at least the similarity; nodes has (fp, x, n, sketch), texts (id, hash, text)."""
     p, q = similarity
     sides = [nodes.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab"]
-    bits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    maybe = pairs.join(sides[0], "a").join(sides[1], "b").where(possible(F.col("na"), F.col("nb"), bits, similarity))
+    bits = F.aggregate(F.zip_with(folded_column(F.col("sa"), F.col("sb")), folded_column(F.col("sb"), F.col("sa")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    sized = pairs.join(sides[0], "a").join(sides[1], "b").where(f"na * {p} <= nb * {q} AND nb * {p} <= na * {q}")  # so sketches differ by one doubling at most
+    maybe = sized.where(possible(F.col("na"), F.col("nb"), bits, similarity))
     maybe = cut(maybe.select("a", "b"))
     ends = maybe.select(F.col("a").alias("fp")).unionByName(maybe.select(F.col("b").alias("fp"))).distinct()
     wanted = cut(nodes.join(ends, "fp").select("fp", F.col("x.id").alias("id"), F.col("x.hash").alias("hash")))
@@ -204,17 +218,28 @@ def crowd_pairs(members: DataFrame, nodes: DataFrame, similarity: tuple[int, int
     rows = members.join(nodes.select("fp", F.col("n").alias("size"), "sketch"), "fp")
 
     def compare(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
-        sides = [(t.column("fp").to_numpy(), t.column("root").to_numpy(), t.column("size").to_numpy(), np.array(t.column("sketch").to_pylist(), np.int64).view(np.uint64).reshape(t.num_rows, SKETCH // 64)) for t in (left, right)]
-        (fa, ra, na, sa), (fb, rb, nb, sb) = sides
+        fa, ra, na = (left.column(c).to_numpy() for c in ("fp", "root", "size"))
+        fb, rb, nb = (right.column(c).to_numpy() for c in ("fp", "root", "size"))
+        by_length: dict[int, list[int]] = {}
+        own = [np.array(x, np.int64) for x in left.column("sketch").to_pylist()]
+        others = [np.array(x, np.int64) for x in right.column("sketch").to_pylist()]
+        for j, x in enumerate(others):
+            by_length.setdefault(len(x), []).append(j)
+        tables = {n: (np.array(js), np.stack([others[j] for j in js])) for n, js in by_length.items()}
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for i in range(len(fa)):
+        for i, x in enumerate(own):
             ok = (rb != ra[i]) & (nb * p <= na[i] * q) & (na[i] * p <= nb * q)
             if same:
                 ok[: i + 1] = False
-            at = np.flatnonzero(ok)
-            bits = np.bitwise_count(sb[at] ^ sa[i]).sum(1, dtype=np.int64)
-            at = at[bits * (p + q) <= (nb[at] + na[i]) * (q - p)]
-            out.append((np.full(len(at), fa[i]), fb[at]))
+            for n, (js, sketches) in tables.items():
+                at = np.flatnonzero(ok[js])
+                if not len(at) or n not in (len(x), 2 * len(x), len(x) // 2):
+                    continue
+                part = folded(sketches[at]) if n > len(x) else sketches[at]
+                bits = np.bitwise_count((part ^ (folded(x) if n < len(x) else x)).view(np.uint64)).sum(1, dtype=np.int64)
+                at = js[at]
+                at = at[bits * (p + q) <= (nb[at] + na[i]) * (q - p)]
+                out.append((np.full(len(at), fa[i]), fb[at]))
         return pa.table({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])})
 
     return by_blocks(rows, ["key"], "fp", compare, "a long, b long")

@@ -37,6 +37,24 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, str(TEXT_ROWS))
 
 
+#: Folders made so far, in their order.
+_MADE: list[str] = []
+
+
+def made() -> int:
+    """How many folders there have been: a mark for sweep."""
+    return len(_MADE)
+
+
+def sweep(spark: SparkSession, first: int, last: int, keep: DataFrame) -> None:
+    """Remove the folders made between two marks, but for those that ``keep`` reads from."""
+    needed = [str(x).split("semspark-", 1)[-1][:32] for x in keep.inputFiles() if "semspark-" in str(x)]
+    for folder in _MADE[first:last]:
+        if folder[-32:] not in needed:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, removed when the session's file systems close.
 
@@ -49,6 +67,7 @@ def shared_folder(spark: SparkSession) -> str:
         base = f"file://{tempfile.mkdtemp(prefix='semspark-')}"
         spark.sparkContext.setCheckpointDir(base)
     folder = f"{base.rstrip('/')}/semspark-{uuid.uuid4().hex}"
+    _MADE.append(folder)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return folder
