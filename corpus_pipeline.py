@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from semspark.llm import decontaminate, mixing, quality, simhash, toxicity
 from semspark.llm.queries import read
-from semspark.llm.scratch import cut
+from semspark.llm.scratch import cut, made, sweep
 from semspark.llm.text import crc_fold
 
 
@@ -38,12 +40,30 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: The marks of the folders that the last stage made.
+_last = [0, 0]
+
+
+def swept(stage: Stage) -> Stage:
+    """The stage, which first removes what the one before left in the shared folder: by then its result has been written."""
+
+    def work(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        sweep(spark, *_last, keep=docs)
+        first = made()
+        out = stage(spark, docs, sf_dir)
+        _last[:] = first, made()
+        return out
+
+    return work
+
+
 STAGES = [
-    ("quality classifier", good_quality),
-    ("toxicity", not_toxic),
-    ("SimHash near-dedup", without_near_copies),
-    ("benchmark decontamination", without_benchmark),
-    ("mixing sources to target weights", mixed),
+    ("quality classifier", swept(good_quality)),
+    ("toxicity", swept(not_toxic)),
+    ("SimHash near-dedup", swept(without_near_copies)),
+    ("benchmark decontamination", swept(without_benchmark)),
+    ("mixing sources to target weights", swept(mixed)),
 ]
 
 #: No SQL fits a discriminant, neighbours' votes or a balanced sample; tests hold the stages against brute force.
