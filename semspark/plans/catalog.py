@@ -208,10 +208,10 @@ def time_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "batch", near("f").alias("f"), near("batch_time", 4).alias("batch_time"))
 
 
-@query(f"""WITH {NODES}, s AS (SELECT *, elem_id % 2 AS batch, 1.0 + label AS dt FROM nodes WHERE elem_id < 400)
+@query(f"""WITH {NODES}, s AS (SELECT *, elem_id % 2 AS batch, 1.0 + label AS dt FROM nodes)
 SELECT batch, elem_id // 40 AS elem_id, CAST(k * 16 + j * 4 + i AS BIGINT) AS node, round(sum(u * dt) / sum(dt), 7) + 0.0 AS u FROM s GROUP BY ALL""")
 def average_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fields(spark, sf_dir).where("elem_id < 400").withColumns({"idx": F.col("elem_id"), "elem_id": F.floor(F.col("elem_id") / 40)})
+    f = fields(spark, sf_dir).withColumns({"idx": F.col("elem_id"), "elem_id": F.floor(F.col("elem_id") / 40)})
     index = f.select("idx", (F.col("idx") % 2).alias("batch"), (F.col("label") + 1.0).alias("dt"))
     out = timeaverage.average_files(f.drop("label"), index, ["u"])
     return out.select("batch", "elem_id", F.posexplode("u").alias("node", "v")).select("batch", "elem_id", F.col("node").cast("long").alias("node"), near("v", 7).alias("u"))
@@ -247,14 +247,12 @@ derivative_t = _derivative("t", "k", "d.a AS k, j, i")
 
 
 @query(f"""WITH {values(basis.derivative(basis.gll(N)[0]), "d")}, {NODES},
-g AS (SELECT elem_id // 3 AS e, elem_id % 3 AS f, k, j, d.a AS i, sum(m * u) AS dx FROM nodes JOIN d ON d.b = i GROUP BY ALL),
-h AS (SELECT elem_id // 3 AS e, elem_id % 3 AS f, k, d.a AS j, i, sum(m * u) AS dy FROM nodes JOIN d ON d.b = j GROUP BY ALL)
-SELECT g.e AS elem_id, g.k, g.j, g.i, round((h.dy + g.dx) / 2, 6) + 0.0 AS s12, round((h.dy - g.dx) / 2, 6) + 0.0 AS o12
-FROM g JOIN h ON g.e = h.e AND g.k = h.k AND g.j = h.j AND g.i = h.i AND g.f = 1 AND h.f = 0""")
+g AS (SELECT elem_id, k, j, d.a AS i, sum(m * u * u) AS dx FROM nodes JOIN d ON d.b = i GROUP BY ALL),
+h AS (SELECT elem_id, k, d.a AS j, i, sum(m * u) AS dy FROM nodes JOIN d ON d.b = j GROUP BY ALL)
+SELECT g.elem_id, g.k, g.j, g.i, round((h.dy + g.dx) / 2, 6) + 0.0 AS s12, round((h.dy - g.dx) / 2, 6) + 0.0 AS o12
+FROM g JOIN h ON g.elem_id = h.elem_id AND g.k = h.k AND g.j = h.j AND g.i = h.i""")
 def strain_and_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fields(spark, sf_dir)
-    part = lambda f, name: e.where(F.col("elem_id") % 3 == f).select(F.floor(F.col("elem_id") / 3).alias("elem_id"), F.col("u").alias(name))
-    three = part(0, "u").join(part(1, "v"), "elem_id")
+    three = fields(spark, sf_dir).select("elem_id", "u", F.transform("u", lambda x: x * x).alias("v"))
     for f in "uv":
         for a, x in zip("rs", "xy", strict=True):
             three = calculus.reference_derivative(three, f, a, f"d{f}d{x}")
@@ -723,18 +721,18 @@ def field_file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_EVENTS} SELECT CAST(row_number() OVER w - 1 AS INTEGER) AS idx, 'out' || event_id AS fname, time, round(time - coalesce(lag(time) OVER w, 5.0), 3) AS time_interval, CAST(5 AS DOUBLE) AS start_time
-FROM e WHERE user_id = 1 WINDOW w AS (ORDER BY time, event_id)""")
+FROM e WINDOW w AS (ORDER BY time, event_id)""")
 def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("user_id = 1").withColumn("time", seconds(F.col("ts")))
+    e = table(spark, sf_dir, "events").withColumn("time", seconds(F.col("ts")))
     rows = timeaverage.intervals(e, "time", [], ["event_id"], 5.0).withColumn("fname", F.concat(F.lit("out"), F.col("event_id")))
     path = folder(spark)
     index.write_json(rows, path, 5.0)
     return index.read_json(spark, path).select("idx", "fname", "time", F.round("time_interval", 3).alias("time_interval"), "start_time")
 
 
-@query("""SELECT vec_id % 20 AS probe_id, CAST(vec_id // 20 AS BIGINT) AS snapshot, CAST(vec_id // 20 AS DOUBLE) AS t, CAST(embedding[1] AS DOUBLE) AS u FROM embeddings WHERE vec_id < 400""")
+@query("""SELECT vec_id % 20 AS probe_id, CAST(vec_id // 20 AS BIGINT) AS snapshot, CAST(vec_id // 20 AS DOUBLE) AS t, CAST(embedding[1] AS DOUBLE) AS u FROM embeddings""")
 def probe_series_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fields(spark, sf_dir).where("elem_id < 400")
+    e = fields(spark, sf_dir)
     points = e.where("elem_id < 20").select(F.col("elem_id").alias("probe_id"), *(F.col("u")[i].alias(a) for i, a in enumerate("xyz")))
     s = F.floor(F.col("elem_id") / 20)
     series = e.select((F.col("elem_id") % 20).alias("probe_id"), s.alias("snapshot"), s.cast("double").alias("t"), F.col("u")[0].alias("u"))
@@ -746,47 +744,11 @@ def probe_series_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # More of the reduced-order models
 
 
-@query("""WITH v AS (SELECT x AS point, vec_id, CAST(embedding[x + 1] AS DOUBLE) AS u FROM embeddings, (SELECT unnest(range(64)) AS x) WHERE vec_id < 20)
-SELECT CAST(1 AS BIGINT) AS n, round(sum(u * u), 5) AS energy FROM v""")
+@query("SELECT CAST(1 AS BIGINT) AS n, round(sum(u * u), 5) AS energy FROM (SELECT CAST(unnest(embedding) AS DOUBLE) AS u FROM embeddings)")
 def streaming_pod_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All modes of 20 snapshots, in four batches, hold the snapshots' energy."""
-    rows = fields(spark, sf_dir).where("elem_id < 20").select("elem_id", F.posexplode("u").alias("point", "v"))
-    wide = rows.groupBy("point").agg(F.transform(F.sort_array(F.collect_list(F.struct("elem_id", "v"))), lambda r: r["v"]).alias("u"))
-    state = rom.Streaming(["point"], 20)
-    for i in range(0, 20, 5):
-        state.update(wide.select("point", F.slice("u", i + 1, 5).alias("u")), "u")
+    """All modes of 64 snapshots, a point for each element, in four batches, hold the snapshots' energy."""
+    rows, state = fields(spark, sf_dir), rom.Streaming(["elem_id"], 64)
+    for i in range(0, 64, 16):
+        state.update(rows.select("elem_id", F.slice("u", i + 1, 16).alias("u")), "u")
     return spark.createDataFrame([(1, round(float((state.d**2).sum()), 5))], "n long, energy double")
 
-
-# The same operators over whole tables, where a query above reads a part
-
-
-@query(f"""WITH {NODES}, s AS (SELECT *, elem_id % 2 AS batch, 1.0 + label AS dt FROM nodes)
-SELECT batch, elem_id // 40 AS elem_id, CAST(k * 16 + j * 4 + i AS BIGINT) AS node, round(sum(u * dt) / sum(dt), 7) + 0.0 AS u FROM s GROUP BY ALL""")
-def average_files_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fields(spark, sf_dir).withColumns({"idx": F.col("elem_id"), "elem_id": F.floor(F.col("elem_id") / 40)})
-    index = f.select("idx", (F.col("idx") % 2).alias("batch"), (F.col("label") + 1.0).alias("dt"))
-    out = timeaverage.average_files(f.drop("label"), index, ["u"])
-    return out.select("batch", "elem_id", F.posexplode("u").alias("node", "v")).select("batch", "elem_id", F.col("node").cast("long").alias("node"), near("v", 7).alias("u"))
-
-
-@query(f"""WITH {_EVENTS} SELECT CAST(row_number() OVER w - 1 AS INTEGER) AS idx, 'out' || event_id AS fname, time, round(time - coalesce(lag(time) OVER w, 5.0), 3) AS time_interval, CAST(5 AS DOUBLE) AS start_time
-FROM e WINDOW w AS (ORDER BY time, event_id)""")
-def index_round_trip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One index of the events of all users."""
-    e = table(spark, sf_dir, "events").withColumn("time", seconds(F.col("ts")))
-    rows = timeaverage.intervals(e, "time", [], ["event_id"], 5.0).withColumn("fname", F.concat(F.lit("out"), F.col("event_id")))
-    path = folder(spark)
-    index.write_json(rows, path, 5.0)
-    return index.read_json(spark, path).select("idx", "fname", "time", F.round("time_interval", 3).alias("time_interval"), "start_time")
-
-
-@query("""SELECT vec_id % 20 AS probe_id, CAST(vec_id // 20 AS BIGINT) AS snapshot, CAST(vec_id // 20 AS DOUBLE) AS t, CAST(embedding[1] AS DOUBLE) AS u FROM embeddings""")
-def probe_series_round_trip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = fields(spark, sf_dir)
-    points = e.where("elem_id < 20").select(F.col("elem_id").alias("probe_id"), *(F.col("u")[i].alias(a) for i, a in enumerate("xyz")))
-    s = F.floor(F.col("elem_id") / 20)
-    series = e.select((F.col("elem_id") % 20).alias("probe_id"), s.alias("snapshot"), s.cast("double").alias("t"), F.col("u")[0].alias("u"))
-    path = folder(spark)
-    probes.write_series(points, series, ["u"], path)
-    return probes.read_series(spark, path)[1]

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_whole_tables(spark):
     n, events = catalog.table(spark, SF, "embeddings").count(), catalog.table(spark, SF, "events").count()
-    averaged = catalog.QUERIES["average_files_whole"](spark, SF)
+    averaged = catalog.QUERIES["average_files"](spark, SF)
     assert averaged.select("elem_id").distinct().count() == -(-n // 40)
-    assert catalog.QUERIES["probe_series_round_trip_whole"](spark, SF).count() == n
-    assert catalog.QUERIES["index_round_trip_whole"](spark, SF).count() == events
+    assert catalog.QUERIES["probe_series_round_trip"](spark, SF).count() == n
+    assert catalog.QUERIES["index_round_trip"](spark, SF).count() == events
