@@ -23,7 +23,8 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True)
     start = F.coalesce(*(F.get_json_object("value", f"$.{k}").cast("double") for k in START_KEYS))
     entries = F.from_json("value", "map<string, string>")
-    rows = text.select(start.alias("start_time"), F.explode(entries).alias("key", "entry"))
+    text = text.select(start.alias("start_time"), entries.alias("entries"))  # once for each file, not for each entry
+    rows = text.select("start_time", F.explode("entries").alias("key", "entry"))
     rows = rows.withColumn("idx", F.expr("try_cast(key AS int)")).where("idx IS NOT NULL")
     return rows.select("idx", F.from_json("entry", ENTRY).alias("e"), "start_time").select("idx", "e.*", "start_time")
 
