@@ -7,7 +7,8 @@ apart count too, but less than those that do, and no list of words is made.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import batched
 from typing import NamedTuple
 
 import numpy as np
@@ -26,6 +27,9 @@ EXAMPLES, EXAMPLE_BYTES, BLOCK, NEIGHBOURS = 8000, 64 << 20, 64, 40
 FIRST = 8
 #: A term is heavy from this share of a query's squared length on.
 HEAVY = 0.2
+#: Postings of terms that more than one example in so many has also lie as rows of a matrix, the most frequent first, within
+#: these bytes; and queries multiplied with it together. That changes the order of additions only.
+FREQUENT, MATRIX_BYTES, TOGETHER = 16, 32 << 20, 32
 #: Weight of words that tell nothing, and the squared phi times examples that chance reaches (chi-squared, p of 0.001).
 FLOOR, CHANCE = 0.01, 10.83
 #: Weight of the prior among the votes, and levels of the calibration.
@@ -50,6 +54,9 @@ class Index(NamedTuple):
     run_block: np.ndarray
     run_start: np.ndarray
     run_most: np.ndarray
+    #: Weights of frequent terms by example, and the row there of each term, -1 if it has none.
+    matrix: np.ndarray
+    row: np.ndarray
     #: Share of label 1, and the same among examples without words.
     prior: float
     bare: float
@@ -78,24 +85,34 @@ def vectors(texts: pa.Array, terms: pa.StringArray, scale: np.ndarray, unknown:
         yield term[a:b], w[a:b]
 
 
-def _sums(x: Index, term: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The cosine with every example, through all postings of the terms."""
-    begins, ends = x.ptr[term].tolist(), x.ptr[term + 1].tolist()
-    runs = list(zip(begins, ends, strict=True))
-    own = np.concatenate([x.examples[a:b] for a, b in runs])
-    part = np.concatenate([x.weights[a:b] for a, b in runs])
-    return np.bincount(own, np.repeat(w, np.subtract(ends, begins)) * part, minlength=len(x.ids))
+def frequent(x: Index, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each query the part of its cosine with every example that frequent terms give."""
+    w = np.zeros((len(queries), len(x.matrix)))
+    for i, (term, weight) in enumerate(queries):
+        row = x.row[term]
+        w[i, row[row >= 0]] = weight[row >= 0]
+    return w @ x.matrix
+
+
+def _sums(x: Index, term: np.ndarray, w: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The cosine with every example, through all postings of the terms; common has the part of the frequent ones."""
+    rare = x.row[term] < 0
+    if not rare.any():
+        return common
+    term, w = term[rare], w[rare]
+    begins, ends = x.ptr[term], x.ptr[term + 1]
+    at = _spread(begins, ends - begins)
+    return common + np.bincount(x.examples[at], np.repeat(w, ends - begins) * x.weights[at], minlength=len(x.ids))
 
 
 def _best(sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    sums = np.round(sums, 9)
-    if len(sums) > k:
-        hit = np.flatnonzero(sums >= np.partition(sums, len(sums) - k)[len(sums) - k])
-    else:
-        hit = np.arange(len(sums))
-    hit = hit[sums[hit] > 0]
-    top = np.lexsort((hit, -sums[hit]))[:k]
-    return hit[top], sums[hit[top]]
+    """The k largest above 0 of sums rounded to 9 digits, ties to the earlier one."""
+    least = np.partition(sums, len(sums) - k)[len(sums) - k] - 1e-8 if len(sums) > k else 0.0
+    hit = np.flatnonzero(sums >= least)
+    cos = np.round(sums[hit], 9)
+    hit, cos = hit[cos > 0], cos[cos > 0]
+    top = np.lexsort((hit, -cos))[:k]
+    return hit[top], cos[top]
 
 
 def _spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -103,19 +120,21 @@ def _spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
-def nearest(x: Index, term: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def nearest(x: Index, term: np.ndarray, w: np.ndarray, k: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The k examples of highest cosine above 0, ties to the earlier one.
 
     A block's bound is the sum of its largest weights. Blocks are evaluated by falling bound in rounds, and the k-th best
     so far is the threshold that the bounds of the next round's blocks have to reach. Where more than half of all blocks
     still reach it, all postings are summed at once, which is cheaper than their selection; so is a query without a
-    heavy term, since sums over many small weights bound nothing.
+    heavy term, since sums over many small weights bound nothing. ``common`` is the query's row of ``frequent``, if known.
     """
     none = np.zeros(0, np.int64), np.zeros(0)
     if not len(term):
         return none
+    if common is None:
+        common = frequent(x, [(term, w)])[0]
     if w.max() ** 2 < HEAVY:
-        return _best(_sums(x, term, w), k)
+        return _best(_sums(x, term, w, common), k)
     sizes = x.run_ptr[term + 1] - x.run_ptr[term]
     runs = _spread(x.run_ptr[term], sizes)
     block, run_w = x.run_block[runs], np.repeat(w, sizes)
@@ -131,7 +150,7 @@ def nearest(x: Index, term: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarr
             if done == len(order):
                 break
         if done and len(order) - done > blocks // 2:
-            return _best(_sums(x, term, w), k)
+            return _best(_sums(x, term, w, common), k)
         some = np.zeros(blocks, bool)
         some[order[done : done + step]] = True
         mine = np.flatnonzero(some[block])
@@ -146,6 +165,13 @@ def nearest(x: Index, term: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarr
     return best, cos
 
 
+def searches(x: Index, queries: Iterable[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``nearest`` for each query, TOGETHER of them at a time."""
+    for group in batched(queries, TOGETHER):
+        for (term, w), common in zip(group, frequent(x, group), strict=True):
+            yield nearest(x, term, w, k, common)
+
+
 def vote(x: Index, best: np.ndarray, cos: np.ndarray) -> float:
     """Votes weigh cosine^2 / (0.05 + distance), beside the prior's: neighbours that share little say little."""
     cos = np.minimum(cos, 1)
@@ -233,11 +259,18 @@ class Examples(NamedTuple):
         term = np.repeat(np.arange(len(self.terms)), np.diff(self.ptr))
         w = (1 + np.log(self.times)) * self.scale[term]
         w = (w / np.sqrt(np.bincount(owner, w * w, minlength=n))[owner]).astype(np.float32)
+        sizes = np.diff(self.ptr)
+        many = np.argsort(-sizes, kind="stable")[: MATRIX_BYTES // (8 * max(n, 1))]
+        many = many[sizes[many] * FREQUENT > n]
+        matrix, row = np.zeros((len(many), n)), np.full(len(sizes), -1)
+        row[many] = np.arange(len(many))
+        for i, t in enumerate(many.tolist()):
+            matrix[i, owner[self.ptr[t] : self.ptr[t + 1]]] = w[self.ptr[t] : self.ptr[t + 1]]
         first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (owner[1:] // BLOCK != owner[:-1] // BLOCK)))) if len(term) else np.zeros(0, np.int64)
         return Index(
             terms=self.terms, scale=self.scale, unknown=self.unknown, ids=self.ids, labels=self.labels, ptr=self.ptr.astype(np.int64), examples=self.examples, weights=w,
             run_ptr=np.searchsorted(term[first], np.arange(len(self.terms) + 1)), run_block=(owner[first] // BLOCK).astype(np.int32), run_start=np.append(first, len(term)),
-            run_most=np.maximum.reduceat(w, first) if len(first) else np.zeros(0, np.float32), prior=self.prior, bare=self.bare,
+            run_most=np.maximum.reduceat(w, first) if len(first) else np.zeros(0, np.float32), matrix=matrix, row=row, prior=self.prior, bare=self.bare,
         )
 
 
@@ -276,8 +309,8 @@ def learn(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str,
         x = shared().index()
         for batch in slices(batches, "text"):
             raw = []
-            for e, (term, w) in zip(batch.column("e").to_pylist(), vectors(batch.column("text"), x.terms, x.scale, x.unknown), strict=True):
-                best, cos = nearest(x, term, w, NEIGHBOURS + 1)
+            queries = list(vectors(batch.column("text"), x.terms, x.scale, x.unknown))
+            for e, (term, _), (best, cos) in zip(batch.column("e").to_pylist(), queries, searches(x, queries, NEIGHBOURS + 1), strict=True):
                 keep = best != e
                 raw.append(vote(x, best[keep][:NEIGHBOURS], cos[keep][:NEIGHBOURS]) if len(term) else None)
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64()), batch.column("label")], names=["raw", "label"])
@@ -311,16 +344,19 @@ def score(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str =
         memo: dict[int, tuple] = {}  # exact copies are searched once; a bounded number of texts is remembered
         for batch in slices(with_text(batches, text_col), "text"):
             scores, notes = [], []
-            for term, w in vectors(batch.column("text"), x.terms, x.scale, x.unknown):
-                key = hash(term.tobytes() + w.tobytes())
-                if (got := memo.get(key)) is None:
-                    best, cos = nearest(x, term, w, NEIGHBOURS)
+            for group in batched(vectors(batch.column("text"), x.terms, x.scale, x.unknown), TOGETHER):
+                keys = [hash(term.tobytes() + w.tobytes()) for term, w in group]
+                new = {key: query for key, query in zip(keys, group, strict=True) if key not in memo}
+                found = {}
+                for key, (best, cos) in zip(new, searches(x, new.values(), NEIGHBOURS), strict=True):
                     note = [{"id": x.ids[e], "cosine": float(c), "label": int(x.labels[e])} for e, c in zip(best[:evidence], cos[:evidence], strict=True)]
-                    got = calibrated(curve, vote(x, best, cos)) if len(best) else x.bare, note
-                    if len(memo) < 20_000:
-                        memo[key] = got
-                scores.append(got[0])
-                notes.append(got[1])
+                    found[key] = calibrated(curve, vote(x, best, cos)) if len(best) else x.bare, note
+                for key in keys:
+                    got = found[key] if key in found else memo[key]
+                    scores.append(got[0])
+                    notes.append(got[1])
+                if len(memo) < 20_000:
+                    memo |= found
             note_type = pa.list_(pa.struct([("id", id_arrow), ("cosine", pa.float64()), ("label", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(notes, note_type)], names=["row", "held_out", "score", "predicted", "evidence"])
 
