@@ -17,13 +17,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
-    """Broadcast a value of bounded size, compressed; call the result in a task to get it. Classes of this package travel by value."""
+def packed(value: Any) -> tuple[int, bytes]:
+    """A value of bounded size as ``share_packed`` takes it: the size of its pickle, and the pickle compressed."""
     raw = cloudpickle.dumps(value)
-    size, sent = len(raw), spark.sparkContext.broadcast(pa.compress(raw, codec="zstd", asbytes=True))
+    return len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def share_packed(spark: SparkSession, size: int, data: bytes) -> Callable[[], Any]:
+    """Broadcast what ``packed`` gave, perhaps in a task; call the result in a task to get the value."""
+    sent = spark.sparkContext.broadcast(data)
     return lambda: pickle.loads(pa.decompress(sent.value, size, codec="zstd", asbytes=True))  # noqa: S301
 
 
+def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcast a value of bounded size, compressed; call the result in a task to get it. Classes of this package travel by value."""
+    return share_packed(spark, *packed(value))
+
+
 #: Rows of an Arrow batch where whole texts go to Python, and the setting that bounds them.
 TEXT_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 

@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from semspark.llm.scratch import bounded_sample, cut, share, text_batches
-from semspark.llm.text import ALNUM, fields, slices, tokenize, with_text
+from semspark.llm.scratch import bounded_sample, cut, packed, share_packed, text_batches
+from semspark.llm.text import ALNUM, fields, release, slices, tokenize, with_text
 
 #: Bounds: labelled rows learned from (those of the least hash) and the bytes of their texts, examples in a block, neighbours.
 EXAMPLES, EXAMPLE_BYTES, BLOCK, NEIGHBOURS = 8000, 64 << 20, 64, 40
@@ -30,6 +30,8 @@ HEAVY = 0.2
 #: Postings of terms that more than one example in so many has also lie as rows of a matrix, the most frequent first, within
 #: these bytes; and queries multiplied with it together. That changes the order of additions only.
 FREQUENT, MATRIX_BYTES, TOGETHER = 16, 32 << 20, 32
+#: Postings whose weights are made at a time.
+PIECE = 1 << 18
 #: Weight of words that tell nothing, and the squared phi times examples that chance reaches (chi-squared, p of 0.001).
 FLOOR, CHANCE = 0.01, 10.83
 #: Weight of the prior among the votes, and levels of the calibration.
@@ -199,7 +201,7 @@ def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(([0.0], (ends[1:] + ends[:-1]) / 2, [1.0])), np.concatenate(([share_[0] / 2], share_, [(1 + share_[-1]) / 2]))
 
 
-def build(ids: list, labels: np.ndarray, texts: list[str]) -> Examples:
+def build(ids: list, labels: np.ndarray, texts: pa.StringArray | list[str]) -> Examples:
     """Examples for an index, each text once. Examples lie by their heaviest term, so that blocks differ in their bounds."""
     known: dict[str, int] = {}
 
@@ -207,11 +209,13 @@ def build(ids: list, labels: np.ndarray, texts: list[str]) -> Examples:
         return np.array([known.setdefault(w, len(known)) for w in words.to_pylist()], np.int64)
 
     parts, start = [], 0
-    for batch in slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])], "text"):
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    for batch in slices([pa.RecordBatch.from_arrays([texts], names=["text"])], "text"):
         owner, term, times = term_counts(batch.column(0), place)
-        parts.append((owner + start, term, times))
+        parts.append(tuple(a.astype(np.int32) for a in (owner + start, term, times)))
         start += batch.num_rows
-    owner, term, times = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
+    owner, term, times = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int32) for i in range(3))
+    del parts
     n, v, labels = len(ids), len(known), labels.astype(float)
     df, toxic = np.bincount(term, minlength=v).astype(float), np.bincount(term, labels[owner] if n else None, minlength=v)
     pos = float(labels.sum())
@@ -225,8 +229,9 @@ def build(ids: list, labels: np.ndarray, texts: list[str]) -> Examples:
     heavy = np.full(n, v)
     by_weight = np.lexsort((w, owner))
     heavy[owner[by_weight]] = term[by_weight]  # the last one written is the heaviest
+    del w, by_weight
     order = np.lexsort((np.arange(n), heavy))
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[order] = np.arange(n)
     owner = rank[owner]
     at = np.lexsort((owner, term))
@@ -235,7 +240,7 @@ def build(ids: list, labels: np.ndarray, texts: list[str]) -> Examples:
     bare = labels[order][~with_words]
     return Examples(
         terms=pa.array(list(known), pa.string()), scale=scale, unknown=float(idf(0) * FLOOR), ids=[ids[i] for i in order], labels=labels[order],
-        ptr=np.searchsorted(term[at], np.arange(v + 1)).astype(np.int32), examples=owner[at].astype(np.int32), times=times[at].astype(np.int32),
+        ptr=np.searchsorted(term[at], np.arange(v + 1, dtype=np.int32)).astype(np.int32), examples=owner[at], times=times[at],
         prior=prior, bare=float((bare.sum() + prior) / (len(bare) + 1)),
     )
 
@@ -255,21 +260,28 @@ class Examples(NamedTuple):
     bare: float
 
     def index(self) -> Index:
-        n, owner = len(self.ids), self.examples.astype(np.int64)
-        term = np.repeat(np.arange(len(self.terms)), np.diff(self.ptr))
-        w = (1 + np.log(self.times)) * self.scale[term]
-        w = (w / np.sqrt(np.bincount(owner, w * w, minlength=n))[owner]).astype(np.float32)
-        sizes = np.diff(self.ptr)
+        """Weights are made in pieces: each worker of an executor holds an index."""
+        n, owner, sizes = len(self.ids), self.examples, np.diff(self.ptr)
+        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), sizes)
+        pieces = [slice(a, a + PIECE) for a in range(0, len(term), PIECE)]
+        counted = lambda p: (1 + np.log(self.times[p])) * self.scale[term[p]]
+        length, w = np.zeros(n), np.empty(len(term), np.float32)
+        for p in pieces:
+            np.add.at(length, owner[p], counted(p) ** 2)
+        length = np.sqrt(length)
+        for p in pieces:
+            w[p] = counted(p) / length[owner[p]]
         many = np.argsort(-sizes, kind="stable")[: MATRIX_BYTES // (8 * max(n, 1))]
         many = many[sizes[many] * FREQUENT > n]
         matrix, row = np.zeros((len(many), n)), np.full(len(sizes), -1)
         row[many] = np.arange(len(many))
         for i, t in enumerate(many.tolist()):
             matrix[i, owner[self.ptr[t] : self.ptr[t + 1]]] = w[self.ptr[t] : self.ptr[t + 1]]
-        first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (owner[1:] // BLOCK != owner[:-1] // BLOCK)))) if len(term) else np.zeros(0, np.int64)
+        block = owner // BLOCK
+        first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
         return Index(
             terms=self.terms, scale=self.scale, unknown=self.unknown, ids=self.ids, labels=self.labels, ptr=self.ptr.astype(np.int64), examples=self.examples, weights=w,
-            run_ptr=np.searchsorted(term[first], np.arange(len(self.terms) + 1)), run_block=(owner[first] // BLOCK).astype(np.int32), run_start=np.append(first, len(term)),
+            run_ptr=np.searchsorted(term[first], np.arange(len(self.terms) + 1, dtype=np.int32)), run_block=block[first], run_start=np.append(first, len(term)),
             run_most=np.maximum.reduceat(w, first) if len(first) else np.zeros(0, np.float32), matrix=matrix, row=row, prior=self.prior, bare=self.bare,
         )
 
@@ -293,32 +305,53 @@ def examples_of(documents: DataFrame, labels: DataFrame, learns: Column, id_col:
     return sample.select("id", "label", "text")
 
 
+def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row, the packed Examples of all rows (id, label, text)."""
+    if rows := list(batches):
+        table = pa.Table.from_batches(rows)
+        ids = table["id"].to_pylist()
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        rows = None
+        table = table.take(order).combine_chunks()
+        x = build([ids[i] for i in order], table["label"].to_numpy(), pa.concat_arrays(table["text"].chunks))
+        size, data = packed(tuple(x))
+        yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64()), pa.array([data], pa.binary())], names=["n", "size", "data"])
+        del table, x, data
+        release()
+
+
 def learn(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str, text_col: str, label_col: str) -> tuple[Callable[[], Examples], tuple[np.ndarray, np.ndarray]]:
     """The shared examples and the calibration (raw score, share) on all of them: tasks score each by its neighbours other
-    than itself."""
+    than itself.
+
+    One task builds the examples, so that the driver holds neither texts nor postings, but their packed form only.
+    """
     spark = documents.sparkSession
     sample = examples_of(documents, labels, learns, id_col, text_col, label_col)
-    rows = sorted(sample.collect(), key=lambda r: r["id"])
-    x = build([r["id"] for r in rows], np.array([r["label"] for r in rows]), [r["text"] for r in rows])
-    shared = share(spark, x)
-    if not rows:
+    made = sample.coalesce(1).mapInArrow(_built, "n long, size long, data binary").collect()
+    n, size, data = made[0] if made else (0, *packed(tuple(build([], np.zeros(0), []))))
+    sent = share_packed(spark, size, bytes(data))
+    del made, data
+    shared = lambda: Examples(*sent())
+    if not n:
         return shared, (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-    place = {i: k for k, i in enumerate(x.ids)}
 
     def leave_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = shared().index()
+        release()
         for batch in slices(batches, "text"):
             raw = []
             queries = list(vectors(batch.column("text"), x.terms, x.scale, x.unknown))
-            for e, (term, _), (best, cos) in zip(batch.column("e").to_pylist(), queries, searches(x, queries, NEIGHBOURS + 1), strict=True):
+            own = pc.index_in(batch.column("id"), pa.array(x.ids, batch.column("id").type)).to_pylist()
+            for e, (term, _), (best, cos) in zip(own, queries, searches(x, queries, NEIGHBOURS + 1), strict=True):
                 keep = best != e
                 raw.append(vote(x, best[keep][:NEIGHBOURS], cos[keep][:NEIGHBOURS]) if len(term) else None)
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64()), batch.column("label")], names=["raw", "label"])
+        x = queries = None
+        release()
 
-    numbered = spark.createDataFrame([(r["id"], place[r["id"]]) for r in rows], f"id {sample.schema['id'].dataType.simpleString()}, e int")
     parts = spark.sparkContext.defaultParallelism * 2
-    own = sample.join(F.broadcast(numbered), "id").select("e", "label", "text").repartition(parts, "e")
-    got = own.mapInArrow(leave_out, "raw double, label int").where("raw IS NOT NULL").collect()  # EXAMPLES at most
+    got = sample.repartition(parts, "id").mapInArrow(leave_out, "raw double, label int").where("raw IS NOT NULL").collect()  # EXAMPLES at most
     return shared, isotonic(np.array([r["raw"] for r in got]), np.array([r["label"] for r in got], float))
 
 
@@ -341,6 +374,7 @@ def score(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str =
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = shared().index()
+        release()
         memo: dict[int, tuple] = {}  # exact copies are searched once; a bounded number of texts is remembered
         for batch in slices(with_text(batches, text_col), "text"):
             scores, notes = [], []
@@ -359,6 +393,8 @@ def score(documents: DataFrame, labels: DataFrame, learns: Column, id_col: str =
                     memo |= found
             note_type = pa.list_(pa.struct([("id", id_arrow), ("cosine", pa.float64()), ("label", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(notes, note_type)], names=["row", "held_out", "score", "predicted", "evidence"])
+        x = memo = found = None
+        release()
 
     id_arrow = to_arrow_type(documents.schema[id_col].dataType)
     out = docs.mapInArrow(rate, fields(f"held_out boolean, score double, predicted int, evidence array<struct<id: {id_kind}, cosine: double, label: int>>", row=docs.schema["row"].dataType))

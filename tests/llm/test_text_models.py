@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -236,6 +237,22 @@ def test_toxicity_by_brute_force(spark):
     assert checked > 100 and len({round(x, 4) for x in got.values()}) > 5
 
 
+def test_toxicity_learns_without_texts_on_the_driver(spark):
+    g = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{j}" for j in g.integers(0, 500, 4000))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lab = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    total = sum(len(t) for _, t in rows)
+    tracemalloc.start()
+    try:
+        shared, _ = toxicity.learn(df, lab, F.lit(True), "doc_id", "text", "toxic")
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(shared().ids) == [i for i, _ in rows]
+    assert peak < total / 2, (peak, total)
+
+
 @pytest.mark.parametrize("terms", [60, 600])
 def test_block_max_search_is_exact(terms):
     g = np.random.default_rng(5)
