@@ -9,12 +9,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that are numbered as a whole are cut into so many slices at most, a power of two.
+SLICES = 256
+
+
+def _sliced(rows: DataFrame, order: Sequence[str], ends: dict[str, Column]) -> DataFrame:
+    """Append _slice, _before and what ``ends`` says of the slice before: slices follow each other in the order.
+
+    The cuts are the rows of least hash, as good as drawn by lot, the same however the rows are dealt out, and collected
+    at once. A slice is one task's; only rows that agree in all of the order can't be cut apart.
+    """
+    key = rows.select(F.struct(*order).alias("k"))
+    low = key.orderBy(F.xxhash64("k"), "k").limit(SLICES - 1)
+    kind, text = f"array<{key.schema[0].dataType.simpleString()}>", low.agg(F.to_json(F.collect_list("k"))).first()[0]
+    cuts = F.sort_array(F.from_json(F.lit(text), kind))  # folded to one literal
+    row = F.struct(*order)
+    steps = [SLICES >> i for i in range(1, SLICES.bit_length())]
+    place = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, w: F.when(F.get(cuts, at + w - 1) <= row, at + w).otherwise(at))
+    cut_up = rows.withColumn("_slice", place)
+    w = Window.orderBy("_slice")  # of SLICES rows at most
+    each = cut_up.groupBy("_slice").agg(F.count("*").alias("_n"), *(e.alias(c) for c, e in ends.items()))
+    before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = each.select("_slice", before.alias("_before"), *(F.lag(c).over(w).alias(c) for c in ends))
+    return cut_up.join(F.broadcast(each), "_slice")
+
+
 def intervals(outputs: DataFrame, time: str = "time", by: Sequence[str] = (), order: Sequence[str] = (), start: Column | float | None = None) -> DataFrame:
-    """Append idx (from 0), time_previous_output and time_interval: the first output follows ``start`` (null: itself unknown)."""
-    w = Window.partitionBy(*by).orderBy(time, *order)
+    """Append idx (from 0), time_previous_output and time_interval: the first output follows ``start`` (null: itself unknown).
+
+    Without ``by`` all outputs are one list, which is numbered in slices side by side.
+    """
     first = start if isinstance(start, Column) else F.lit(start).cast("double")
-    previous = F.coalesce(F.lag(F.col(time)).over(w), first)
-    return outputs.withColumns({"idx": F.row_number().over(w) - 1, "time_previous_output": previous, "time_interval": F.col(time) - previous})
+    if by:
+        w = Window.partitionBy(*by).orderBy(time, *order)
+        previous, number = F.lag(F.col(time)).over(w), F.row_number().over(w) - 1
+    else:
+        w = Window.partitionBy("_slice").orderBy(time, *order)
+        previous = F.when(F.row_number().over(w) == 1, F.col("_last")).otherwise(F.lag(F.col(time)).over(w))
+        number = (F.col("_before") + F.row_number().over(w) - 1).cast("int")
+        outputs = _sliced(outputs, [time, *order], {"_last": F.max(time)})
+    previous = F.coalesce(previous, first)
+    return outputs.withColumns({"idx": number, "time_previous_output": previous, "time_interval": F.col(time) - previous}).drop("_slice", "_before", "_last")
 
 
 def merge(indexes: Sequence[DataFrame], sort_by_time: bool = True, time: str = "time", start: str = "start_time") -> DataFrame:
@@ -26,8 +61,10 @@ def merge(indexes: Sequence[DataFrame], sort_by_time: bool = True, time: str = "
     if "path" in both.columns:
         both = both.where(F.col("path").isNull() | (F.col("path") != "file_not_in_folder"))
     least = both.agg(F.min(start).alias("_least")) if start in both.columns else None
-    w = Window.orderBy(*([time] if sort_by_time else []), *(c for c in ("fname", "idx") if c in both.columns))
-    out = both.drop(start).withColumn("idx", F.row_number().over(w) - 1) if least is not None else both.withColumn("idx", F.row_number().over(w) - 1)
+    order = [*([time] if sort_by_time else []), *(c for c in ("fname", "idx") if c in both.columns)]
+    w = Window.partitionBy("_slice").orderBy(*order)
+    out = _sliced(both.drop(start) if least is not None else both, order, {})
+    out = out.withColumn("idx", (F.col("_before") + F.row_number().over(w) - 1).cast("int")).drop("_slice", "_before")
     return out.join(F.broadcast(least)).withColumnRenamed("_least", start) if least is not None else out
 
 

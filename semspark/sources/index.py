@@ -13,6 +13,8 @@ from semspark.sources.lines import numbered
 CONTENTS = "struct<mesh_fields: int, velocity_fields: int, pressure_fields: int, temperature_fields: int, scalar_fields: int>"
 ENTRY = f"struct<fname: string, path: string, time: double, time_previous_output: double, time_interval: double, file_contents: {CONTENTS}>"
 START_KEYS = ("simulation_start_time", "statistics_start_time")
+#: Numbers of an index that go into one JSON text, about 2 MB.
+ENTRIES = 8192
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -30,13 +32,19 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json(index: DataFrame, path: str, start_time: float | None = None, start_key: str = START_KEYS[0]) -> None:
-    """One JSON text for the index, by number. An index has a row for each file, few enough for the driver."""
+    """A folder of JSON texts for the index, each complete and with the start time, of ENTRIES numbers (idx, unique) in order.
+
+    An index of up to ENTRIES files is one text. Executors make the texts; the driver holds none.
+    """
     names = [c for c in ("fname", "path", "time", "time_previous_output", "time_interval", "file_contents") if c in index.columns]
-    out: dict = {start_key: start_time} if start_time is not None else {}
-    for r in index.orderBy("idx").select("idx", *names).toLocalIterator():
-        entry = r.asDict(recursive=True)
-        out[str(entry.pop("idx"))] = {k: v for k, v in entry.items() if v is not None}
-    index.sparkSession.createDataFrame([(json.dumps(out, indent=1),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    start = [f"{json.dumps(start_key)}: {json.dumps(start_time)}"] if start_time is not None else []
+    entry = F.concat(F.lit('"'), F.col("idx").cast("string"), F.lit('": '), F.to_json(F.struct(*names), {"ignoreNullFields": "true"}))
+    rows = index.where("idx IS NOT NULL").select(F.floor(F.col("idx") / ENTRIES).cast("long").alias("part"), F.struct(F.col("idx").cast("long").alias("idx"), entry.alias("entry")).alias("e"))
+    rows = rows.unionByName(index.sparkSession.range(0, 1, 1, 1).select(F.col("id").alias("part")), allowMissingColumns=True)  # a text even if there is no entry
+    entries = F.transform(F.sort_array(F.collect_list("e")), lambda e: e["entry"])
+    lines = F.concat(F.array(*map(F.lit, start)).cast("array<string>"), entries)
+    texts = rows.groupBy("part").agg(F.concat(F.lit("{\n "), F.array_join(lines, ",\n "), F.lit("\n}")).alias("value"))
+    texts.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def from_log(spark: SparkSession, path: str) -> DataFrame:

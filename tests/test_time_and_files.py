@@ -38,6 +38,35 @@ def test_index_round_trip(spark, tmp_path):
     assert both.count() == 6 and both.agg(F.min("start_time"), F.max("idx")).first() == (1.0, 5)
 
 
+def test_long_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "ENTRIES", 100)
+    n = 1030
+    rows = spark.range(n).select(F.concat(F.lit('a"'), "id").alias("fname"), F.when(F.col("id") >= 3, F.floor(F.col("id") / 7) + 0.25).alias("time"), F.col("id").alias("at"))
+    rows = timeaverage.intervals(rows.repartition(5, "at"), "time", [], ["at"], 0.1)
+    assert rows.columns == ["fname", "time", "at", "idx", "time_previous_output", "time_interval"] and dict(rows.dtypes)["idx"] == "int"
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "_slice" in plan  # numbered in slices, not in one task
+    times = [None, None, None, *(i // 7 + 0.25 for i in range(3, n))]
+    before = [0.1, *(0.1 if t is None else t for t in times[:-1])]
+    assert [(r["at"], r["idx"], r["time_previous_output"]) for r in rows.orderBy("at").collect()] == [(i, i, b) for i, b in enumerate(before)]
+    path = str(tmp_path / "index")
+    index.write_json(rows, path, 0.1)
+    texts = [json.loads(f.read_text()) for f in (tmp_path / "index").glob("part-*")]
+    assert len(texts) == 11 and all(t.pop("simulation_start_time") == 0.1 for t in texts)
+    assert sorted(int(k) for t in texts for k in t) == list(range(n))
+    got = index.read_json(spark, path).orderBy("idx").collect()
+    assert [(r["idx"], r["fname"], r["time"], r["time_previous_output"], r["start_time"]) for r in got] == [(i, f'a"{i}', t, b, 0.1) for i, (t, b) in enumerate(zip(times, before, strict=True))]
+    both = timeaverage.merge([index.read_json(spark, path).drop("idx").withColumn("idx", F.lit(k)) for k in (1, 0)], sort_by_time=False).orderBy("idx").collect()
+    assert [(r["idx"], r["fname"]) for r in both] == [(i, f) for i, f in enumerate(sorted(2 * [f'a"{i}' for i in range(n)]))]
+
+
+def test_empty_index(spark, tmp_path):
+    rows = timeaverage.intervals(outputs(spark).where("idx > 5"), "time", start=5.0)
+    index.write_json(rows, str(tmp_path / "index"), 5.0)
+    assert [json.loads(f.read_text()) for f in (tmp_path / "index").glob("part-*")] == [{"simulation_start_time": 5.0}]
+    assert index.read_json(spark, str(tmp_path / "index")).count() == 0
+
+
 def test_log(spark, tmp_path):
     log = ["File name : field.fld", "File name : stats.fld", " t =  1.0E+00 dt", "x", "Time-step 1", "Writer output", " field.fld", " Output number : 3", "Writing at time: 2.500 s", "y", "Writer output", " stats.fld", " Output number : 7", " field.fld", " Output number : 4", "Writing at time: 4.000 s"]
     (tmp_path / "run.log").write_text("\n".join(log))
