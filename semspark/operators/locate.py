@@ -113,7 +113,8 @@ def locate(probes: DataFrame, mesh: DataFrame, cell: Sequence[float], tolerance:
     """A row for each probe: probe_id, elem_id, r, s, t, err_code and test_pattern (null element: no candidate).
 
     Candidates are the elements whose box holds the probe (with obb also their oriented box). The reference coordinates
-    come from Newton's method; test_pattern is the error of x^2 + y^2 + z^2 there. Of several elements one that holds the
+    come from Newton's method; test_pattern is the error of x^2 + y^2 + z^2 there. Both are
+    reckoned from the element's first node, so that they don't depend on how far it lies from 0. Of several elements one that holds the
     probe wins, then the smallest error, then the smallest elem_id. err_code is 1 inside, -10 for a guess of error up to
     ``guess``, else 0. Independent of time: keep the result and join fields to it.
     """
@@ -127,15 +128,18 @@ def locate(probes: DataFrame, mesh: DataFrame, cell: Sequence[float], tolerance:
             for at in range(0, big.num_rows, 512):
                 batch = big.slice(at, 512)
                 xyz, p = _cubes(batch, ["mx", "my", "mz"]), np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in XYZ], 1)
+                origin = xyz[:, :, 0, 0, 0].copy()  # far from 0 its digits would be lost to the search
+                xyz, p = xyz - origin[:, :, None, None, None], p - origin
                 if obb:
                     kept = oriented(xyz, p)
-                    batch, xyz, p = batch.filter(pa.array(kept)), xyz[kept], p[kept]
+                    batch, xyz, p, origin = batch.filter(pa.array(kept)), xyz[kept], p[kept], origin[kept]
                     if not batch.num_rows:
                         continue
                 rst, ok = newton(xyz, p)
                 inside = ok & (np.abs(rst) <= 1 + edge).all(1)
                 rst = np.where(inside[:, None], np.clip(rst, -1, 1), rst)
-                test = np.abs(values_at((xyz**2).sum(1)[:, None], np.clip(rst, -1, 1))[:, 0] - (p**2).sum(1))
+                here = values_at(np.concatenate((xyz, (xyz**2).sum(1)[:, None]), 1), np.clip(rst, -1, 1))
+                test = np.abs(here[:, 3] - (p**2).sum(1) + 2 * (origin * (here[:, :3] - p)).sum(1))
                 yield pa.RecordBatch.from_arrays([batch.column("probe_id"), batch.column("elem_id"), *(pa.array(rst[:, a]) for a in range(3)), pa.array(inside), pa.array(test)], names=["probe_id", "elem_id", "r", "s", "t", "inside", "test_pattern"])
 
     best = F.struct((~F.col("inside")).alias("out"), F.when(F.col("inside"), 0.0).otherwise(F.col("test_pattern")).alias("e"), "elem_id", "r", "s", "t", "test_pattern")

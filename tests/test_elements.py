@@ -97,6 +97,20 @@ def test_interpolating_coordinates_returns_them(spark):
     assert locate.warnings(places, far).count() == 1
 
 
+@pytest.mark.parametrize("obb", [False, True])
+def test_locate_far_from_zero(spark, obb):
+    at = 2.0**26
+    away = mesh(spark, curved=False).withColumn("x", F.transform("x", lambda v: v + at))
+    near = [(i, 0.05 + 0.09 * i, 0.07 + 0.08 * i, 0.9 - 0.07 * i) for i in range(10)]
+    probes = spark.createDataFrame([(i, at + x, y, z) for i, x, y, z in near], "probe_id long, x double, y double, z double")
+    places = locate.locate(probes, away, (1.0, 1.0, 1.0), obb=obb).collect()
+    want = {r["probe_id"]: r for r in locate.locate(spark.createDataFrame(near, probes.schema), mesh(spark, curved=False), (1.0, 1.0, 1.0), obb=obb).collect()}
+    assert {r["err_code"] for r in places} == {locate.FOUND} == {r["err_code"] for r in want.values()}
+    for r in places:
+        assert r["elem_id"] == want[r["probe_id"]]["elem_id"] and r["test_pattern"] < 1
+        assert np.allclose([r[c] for c in "rst"], [want[r["probe_id"]][c] for c in "rst"], atol=1e-6)
+
+
 def test_shared_entities(spark):
     m = mesh(spark, curved=False)
     v = topology.entities(m, 5, "vertex")
