@@ -56,10 +56,33 @@ def shared(entities: DataFrame, least: int = 2) -> DataFrame:
     return entities.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("elem_id", "entity"))).alias("members")).where(F.size("members") >= least)
 
 
+#: Members of a place that are joined with as many others at once, and pairs that a task is to make, roughly.
+BLOCK, PAIRS = 1024, 1 << 23
+
+
 def neighbours(entities: DataFrame) -> DataFrame:
-    """Pairs (elem_id, other) of elements that share an entity. Places have a few members each."""
-    other = entities.select("key", F.col("elem_id").alias("other"))
-    return entities.select("key", "elem_id").join(other, "key").where("elem_id <> other").select("elem_id", "other").distinct()
+    """Pairs (elem_id, other) of elements that share an entity, each once. An element has few entities.
+
+    Members of crowded places are dealt into blocks of about BLOCK, and a task joins pairs of blocks; the number of
+    tasks follows that of the pairs, which is counted at once. Elements that share several places meet at each, but the
+    least of them alone makes their pair, so pairs aren't shuffled.
+    """
+    rows = entities.select("key", "elem_id").where("key IS NOT NULL AND elem_id IS NOT NULL").distinct()
+    counts = rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
+    pairs = counts.agg(F.sum(F.col("_n").cast("double") * F.col("_n"))).first()[0] or 0.0
+    tasks = max(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), -int(-pairs // PAIRS))
+    places = rows.groupBy("elem_id").agg(F.sort_array(F.collect_list("key")).alias("_all"))
+    # null for an element of one place: what it shares it shares there
+    members = places.select("elem_id", F.explode("_all").alias("key"), F.when(F.size("_all") > 1, F.col("_all")).alias("_all"))
+    members = members.join(counts, "key").withColumn("_b", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    members = members.withColumn("_own", F.pmod(F.xxhash64("elem_id"), F.col("_b")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("_b") - 1))
+    left = members.select("key", "elem_id", "_all", F.col("_own").alias("_i"), each.alias("_j"))
+    right = members.select("key", F.col("elem_id").alias("other"), F.col("_all").alias("_others"), each.alias("_i"), F.col("_own").alias("_j"))
+    at = ["key", "_i", "_j"]
+    both = left.repartition(tasks, *at).join(right.repartition(tasks, *at).hint("merge"), at).where("elem_id <> other")
+    first = F.col("_all").isNull() | F.col("_others").isNull() | (F.array_min(F.array_intersect("_all", "_others")) == F.col("key"))
+    return both.where(first).select("elem_id", "other")
 
 
 def within(left: DataFrame, right: DataFrame, tolerance: float, columns: Sequence[str] = ("x", "y", "z")) -> DataFrame:

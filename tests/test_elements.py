@@ -111,6 +111,19 @@ def test_locate_far_from_zero(spark, obb):
         assert np.allclose([r[c] for c in "rst"], [want[r["probe_id"]][c] for c in "rst"], atol=1e-6)
 
 
+def test_neighbours_at_crowded_places(spark, monkeypatch):
+    monkeypatch.setattr(topology, "BLOCK", 8)
+    monkeypatch.setattr(topology, "PAIRS", 500)
+    at = {i: {("a", i % 3)} | ({("b", 0)} if i % 5 == 0 else set()) | ({("c", i // 20)} if i % 2 else set()) for i in range(120)}
+    rows = [(k, i) for i, keys in at.items() for k in keys] + [(("a", 0), 0), (None, 1), (None, 2), (("d", 1), None), (("d", 1), 7)]
+    df = spark.createDataFrame(rows, "key struct<p: string, n: int>, elem_id long")
+    out = topology.neighbours(df)
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i in at for j in at if i != j and at[i] & at[j]}
+    pairs = sum(n * n for n in (40, 40, 40, 24, *[10] * 6))
+    assert out.rdd.getNumPartitions() >= pairs // 500  # a crowded place isn't one task's
+
+
 def test_shared_entities(spark):
     m = mesh(spark, curved=False)
     v = topology.entities(m, 5, "vertex")
