@@ -16,6 +16,8 @@ from semspark.operators import calculus
 from semspark.operators.elements import arrays, boxed, kernel, matrix
 
 NOISE = 1e-10
+#: Elements that are multiplied at once, always so many, and doubles that the covariances of a slice of elements take at most.
+ROWS, DOUBLES = 128, 1 << 19
 
 
 def keep_largest(df: DataFrame, field: str, keep: int, out: str) -> DataFrame:
@@ -121,7 +123,22 @@ def covariance(coefficients: np.ndarray, groups: np.ndarray, method: str, keep:
     v = basis.to_nodal(n)
     full = np.kron(np.kron(v, v), v) if dims == 3 else np.kron(v, v)
     # modes of independent amplitude c: the diagonal model keeps the covariance of full rank
-    return np.einsum("am,em,bm->eab", full, c**2, full, optimize=True)
+    nodes, c = len(full), c**2
+    if nodes > 64:  # the products below would be too large
+        return np.matmul(full * c[:, None, :], full.T)
+    products = (full[:, None, :] * full[None]).reshape(nodes * nodes, -1).T
+    out = np.empty((len(c), nodes * nodes))
+    for at in range(0, len(c), ROWS):  # padded: the last digits, which ties hang on, mustn't depend on how many rows there are
+        part = np.zeros((ROWS, c.shape[1]))
+        part[: len(c) - at] = c[at : at + ROWS]
+        out[at : at + ROWS] = (part @ products)[: len(c) - at]
+    return out.reshape(-1, nodes, nodes)
+
+
+def _slices(rows: int, nodes: int) -> list[slice]:
+    """Slices of elements whose covariances fit into DOUBLES: ROWS at most, an element at least."""
+    step = max(1, min(ROWS, DOUBLES // max(nodes, 1) ** 2))
+    return [slice(at, at + step) for at in range(0, rows, step)]
 
 
 def sample(values: np.ndarray, cov: np.ndarray, count: int) -> np.ndarray:
@@ -158,8 +175,9 @@ def gp_compress(df: DataFrame, field: str, bitrate: float, method: str = "dlt",
             np.put_along_axis(spectrum, np.argsort(-np.abs(c), axis=1, kind="stable")[:, keep:], 0.0, 1)
         else:
             spectrum = planes(c, keep).reshape(c.shape)
-        cov = covariance(spectrum, np.arange(len(u)), "bitplane", 64, n, dims)
-        known = sample(u, cov, max(1, int(u.shape[1] * bitrate)))
+        count = max(1, int(u.shape[1] * bitrate))
+        cov = lambda c: covariance(c, np.arange(len(c)), "bitplane", 64, n, dims)
+        known = np.concatenate([sample(u[part], cov(spectrum[part]), count) for part in _slices(*u.shape)])
         got = np.take_along_axis(u, known, 1)
         size = known.shape[1]
         nodes = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * size), pa.array(known.astype(np.int32).ravel()))
@@ -175,8 +193,9 @@ def gp_restore(df: DataFrame, out: str, dims: int = 3, std: str | None = None) -
 
     def f(nodes: pa.Array, samples: pa.Array, spectrum: pa.Array) -> list[pa.Array]:
         known, values, c = matrix(nodes).astype(np.int64), matrix(samples), matrix(spectrum)
-        cov = covariance(c, np.arange(len(c)), "bitplane", 64, round(c.shape[1] ** (1 / dims)), dims)
-        mean, dev = regression(cov, known, values)
+        n = round(c.shape[1] ** (1 / dims))
+        both = [regression(covariance(c[part], np.arange(len(c[part])), "bitplane", 64, n, dims), known[part], values[part]) for part in _slices(*c.shape)]
+        mean, dev = (np.concatenate(x) for x in zip(*both, strict=True))
         np.put_along_axis(mean, known, values, 1)
         return [arrays(mean)] + ([arrays(dev)] if std else [])
 
